@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkloom.llm.op7_wavelet import op7_wavelet
+from chunkloom.llm.op9_simhash import op9_simhash
 from chunkloom.llm.op10_packing import op10_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_wavelet": op7_wavelet,
+    "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
 
