@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm._shared import documents, slices
-from chunkloom.llm.tokenize import MemoTokenizer, split_keeping_space
+from chunkloom.llm.tokenize import memo_tokenizer, split_keeping_space
 
 SEQUENCE_TOKENS = 1024
 END_ID = 0
@@ -88,7 +88,7 @@ def encode_lengths(docs: DataFrame, vocabulary: str | None = None, end_id: int =
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = MemoTokenizer(vocabulary, split_keeping_space)
+        encoder = memo_tokenizer(vocabulary, split_keeping_space)
         for batch in batches:
             for piece in slices(batch, "text"):
                 raw = [x + end for x in encoder.encode(piece.column(1).to_pylist())]

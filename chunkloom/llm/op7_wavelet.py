@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkloom.llm._shared import documents, slices, written
-from chunkloom.llm.tokenize import MemoTokenizer, split_dropping_space
+from chunkloom.llm.tokenize import memo_tokenizer, split_dropping_space
 
 SHARD_TOKENS = 1 << 19
 END_ID = 2
@@ -180,7 +180,7 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
         vocabulary = public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = MemoTokenizer(vocabulary, split_dropping_space)
+        encoder = memo_tokenizer(vocabulary, split_dropping_space)
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
         encoded: list[bytes] = []

@@ -6,8 +6,9 @@ import os
 import re
 import struct
 from collections.abc import Callable
+from functools import lru_cache
 
-#: Distinct chunks remembered by a task before the older half of the memo goes: bounds memory, never changes ids.
+#: Distinct chunks remembered by a worker before the older half of the memo goes: bounds memory, never changes ids.
 MEMO_ENTRIES = 400_000
 MEMO_CHUNK = 48
 
@@ -52,20 +53,24 @@ class MemoTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One bytes object a text; null counts as empty."""
-        split = [self.splitter(t) if t else [] for t in texts]
         if len(self.memo) > self.memo_entries:
             self.memo, self.older = {}, self.memo
         memo, older = self.memo, self.older
-        missing = list(set().union(*split).difference(memo)) if split else []
-        if older:
-            memo.update((c, older[c]) for c in missing if c in older)
-            missing = [c for c in missing if c not in memo]
-        long = {}
+        split = [self.splitter(t) if t else [] for t in texts]
+        found = [list(map(memo.get, chunks)) for chunks in split]
+        gaps = [(k, i) for k, ids in enumerate(found) if None in ids for i, x in enumerate(ids) if x is None]
+        new = {chunk: older.get(chunk) for chunk in {split[k][i] for k, i in gaps}}
+        missing = [chunk for chunk, ids in new.items() if ids is None]
         for i in range(0, len(missing), 8192):
             part = missing[i : i + 8192]
-            for chunk, ids in zip(part, self._ids(part)):
-                (memo if len(chunk) <= MEMO_CHUNK else long)[chunk] = ids
-        if long:
-            return [b"".join([memo[c] if c in memo else long[c] for c in chunks]) for chunks in split]
-        get = memo.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+            new.update(zip(part, self._ids(part)))
+        for k, i in gaps:
+            found[k][i] = new[split[k][i]]
+        memo.update((chunk, ids) for chunk, ids in new.items() if len(chunk) <= MEMO_CHUNK)
+        return [b"".join(ids) for ids in found]
+
+
+@lru_cache(4)
+def memo_tokenizer(path: str, splitter: Callable[[str], list[str]]) -> MemoTokenizer:
+    """One a Python worker: later tasks find what earlier ones remembered."""
+    return MemoTokenizer(path, splitter)
