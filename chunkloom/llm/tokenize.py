@@ -9,7 +9,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 #: Distinct chunks remembered by a worker before the older half of the memo goes: bounds memory, never changes ids.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 700_000
 MEMO_CHUNK = 48
 
 #: White space other than space, tab, newline and carriage return, by any common definition.
@@ -20,6 +20,11 @@ _WORDS = re.compile(f"[{_LETTERS}]+(?![^{_MARKS} ])|[^ ]+")
 _RUNS = re.compile(f"[ \t\r\n]*[{_LETTERS}]+(?![^{_MARKS} \t\r\n])|[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 
 
+#: Byte-level BPE writes a byte as the character of that code if it is printable, else as the next one from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
+
 def split_dropping_space(text: str) -> list[str]:
     """Chunks for pre-tokenizers that drop white space: no token reaches over a space, newline or end of a letter run."""
     return _WORDS.findall(text.replace("\n", " "))
@@ -48,7 +53,25 @@ class MemoTokenizer:
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+        self.model = self.tokenizer.model
+        normalizer = self.tokenizer.normalizer
+        #: Chunks of these letters alone are one pre-token, which the library's BPE model can take directly.
+        self.plain = re.compile(f" ?[{_LETTERS}]+" if normalizer is None else f"[{_LETTERS}]+").fullmatch
+        self.lower = normalizer is not None
+
     def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, each on its own: by the model where a chunk is a pre-token, else by the whole library."""
+        plain, tokenize, out = self.plain, self.model.tokenize, {}
+        for chunk in chunks:
+            if plain(chunk):
+                letters = (chunk.lower() if self.lower else chunk).encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = [t.id for t in tokenize(letters)]
+                out[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+        rest = [c for c in chunks if c not in out]
+        out.update(zip(rest, self._whole(rest)))
+        return [out[c] for c in chunks]
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(ids)}I", *ids) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False) for ids in (e.ids,)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
