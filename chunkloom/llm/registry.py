@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chunkloom.llm import op5_winnowing
 from chunkloom.llm.op2_crf import op2_crf
+from chunkloom.llm.op3_pii import op3_pii
 from chunkloom.llm.op4_jpeg import op4_jpeg
 from chunkloom.llm.op6_toxicity import op6_toxicity
 from chunkloom.llm.op7_wavelet import op7_wavelet
@@ -17,6 +18,7 @@ from chunkloom.llm.op10_packing import op10_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_crf": op2_crf,
+    "op3_pii": op3_pii,
     "op4_jpeg": op4_jpeg,
     "op5_winnowing": op5_winnowing.op5_winnowing,
     "op6_toxicity": op6_toxicity,
