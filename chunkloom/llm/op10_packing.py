@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm._shared import documents, slices
-from chunkloom.llm.tokenize import memo_tokenizer, split_keeping_space
+from chunkloom.llm.tokenize import bulk_tokenizer
 
 SEQUENCE_TOKENS = 1024
 END_ID = 0
@@ -88,10 +88,11 @@ def encode_lengths(docs: DataFrame, vocabulary: str | None = None, end_id: int =
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = memo_tokenizer(vocabulary, split_keeping_space)
+        encoder = bulk_tokenizer(vocabulary)
         for batch in batches:
             for piece in slices(batch, "text"):
-                raw = [x + end for x in encoder.encode(piece.column(1).to_pylist())]
+                tokens, at = encoder.encode(piece.column(1))
+                raw = [tokens[a:b].tobytes() + end for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 crc = [[zlib.crc32(x[i : i + 4 * capacity]) for i in range(0, len(x), 4 * capacity)] for x in raw]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(crc, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "crc"])
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkloom.llm._shared import documents, slices, written
-from chunkloom.llm.tokenize import memo_tokenizer, split_dropping_space
+from chunkloom.llm.tokenize import bulk_tokenizer
 
 SHARD_TOKENS = 1 << 19
 END_ID = 2
@@ -180,30 +180,31 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
         vocabulary = public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = memo_tokenizer(vocabulary, split_dropping_space)
+        encoder = bulk_tokenizer(vocabulary)
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
-        encoded: list[bytes] = []
+        encoded: list[np.ndarray] = []
+        lengths: list[int] = []
         held = 0
-        end = struct.pack("<I", end_id)
+        end = np.array([end_id], np.uint32)
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, start, ids, encoded, held
-            lengths = [len(x) // 4 for x in encoded]
-            total = sum(lengths)
-            out = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int64()), (start, pa.int64()), (total, pa.int64()), (build_shard(np.frombuffer(b"".join(encoded), "<u4"), ids, lengths), pa.binary()))], names=["part", "seq", "start_in_part", "n_tokens", "shard"])
-            seq, start, ids, encoded, held = seq + 1, start + total, [], [], 0
+            nonlocal seq, start, ids, encoded, lengths, held
+            total = held
+            out = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int64()), (start, pa.int64()), (total, pa.int64()), (build_shard(np.concatenate(encoded), ids, lengths), pa.binary()))], names=["part", "seq", "start_in_part", "n_tokens", "shard"])
+            seq, start, ids, encoded, lengths, held = seq + 1, start + total, [], [], [], 0
             return out
 
         for batch in batches:
             for piece in slices(batch, "text"):
-                for doc_id, raw in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist())):
-                    raw += end
-                    if held and held + len(raw) // 4 > shard_tokens:
+                tokens, at = encoder.encode(piece.column(1))
+                for doc_id, a, b in zip(piece.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    if held and held + b - a + 1 > shard_tokens:
                         yield flush()
                     ids.append(doc_id)
-                    encoded.append(raw)
-                    held += len(raw) // 4
+                    encoded += [tokens[a:b], end]
+                    lengths.append(b - a + 1)
+                    held += b - a + 1
         if ids:
             yield flush()
 

@@ -1,99 +1,157 @@
-"""Exact, memoised encoding with files of the tokenizers library."""
+"""Exact bulk encoding with files of the tokenizers library.
+
+Texts are cut at borders that no pre-token reaches over, whatever stands around them: before white
+space that follows something else, and between a Latin letter and an ASCII mark. Equal chunks are
+found by vectorised hashes, so each distinct chunk of many texts is looked up, or encoded, once.
+"""
 
 from __future__ import annotations
 
 import os
 import re
-import struct
-from collections.abc import Callable
 from functools import lru_cache
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
 
 #: Distinct chunks remembered by a worker before the older half of the memo goes: bounds memory, never changes ids.
-MEMO_ENTRIES = 700_000
-MEMO_CHUNK = 48
+MEMO_ENTRIES = 600_000
+#: Longer chunks, in bytes, are neither remembered nor told apart by the vectorised hashes.
+MEMO_CHUNK = 64
 
 #: White space other than space, tab, newline and carriage return, by any common definition.
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -​    　]")
-#: Letters and marks whose borders every pre-tokenizer here cuts at; the apostrophe is left out, as it may join letters.
-_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", re.escape(".,!?;:*$%&#|)")
-_WORDS = re.compile(f"[{_LETTERS}]+(?![^{_MARKS} ])|[^ ]+")
-_RUNS = re.compile(f"[ \t\r\n]*[{_LETTERS}]+(?![^{_MARKS} \t\r\n])|[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
-
-
+#: The apostrophe is no mark here, as it may join letters, nor the bar, which is part of special tokens.
+_MARKS = b".,!?;:*$%&#)"
+_SPACE, _LETTER, _MARK, _ODD = 1, 2, 4, 8
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[list(b" \t\r\n")] = _SPACE
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[list(_MARKS)] = _MARK
+_CLASS[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = _ODD  # bytes that an odd space begins with
 #: Byte-level BPE writes a byte as the character of that code if it is printable, else as the next one from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_LETTERS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
-
-
-def split_dropping_space(text: str) -> list[str]:
-    """Chunks for pre-tokenizers that drop white space: no token reaches over a space, newline or end of a letter run."""
-    return _WORDS.findall(text.replace("\n", " "))
+_BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+_POWERS = [np.cumprod(np.full(MEMO_CHUNK, m, np.uint64)) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
 
 
-def split_keeping_space(text: str) -> list[str]:
-    """Chunks for byte-level BPE: a token border always lies between a non-space and plain white space.
+class BulkTokenizer:
+    """Ids of whole texts; each text's equal tokenizer.encode(text, add_special_tokens=False)."""
 
-    A text with rarer white space characters is one chunk, as borders there depend on more context.
-    """
-    return [text] if _ODD_SPACE.search(text) else _RUNS.findall(text)
-
-
-class MemoTokenizer:
-    """Ids of whole texts as little-endian uint32 bytes; equal to tokenizer.encode(text, add_special_tokens=False).
-
-    Chunks that recur are encoded once. Each is a maximal piece that the pre-tokenizer treats on its own.
-    """
-
-    def __init__(self, path: str, splitter: Callable[[str], list[str]], memo_entries: int = MEMO_ENTRIES) -> None:
+    def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.splitter, self.memo_entries = splitter, memo_entries
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
         self.model = self.tokenizer.model
-        normalizer = self.tokenizer.normalizer
-        #: Chunks of these letters alone are one pre-token, which the library's BPE model can take directly.
-        self.plain = re.compile(f" ?[{_LETTERS}]+" if normalizer is None else f"[{_LETTERS}]+").fullmatch
-        self.lower = normalizer is not None
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
+        #: The vocabularies here either normalise and drop white space, or keep all of a text.
+        self.drops_space = self.tokenizer.normalizer is not None
+        #: Letters alone, after at most one space, are one pre-token, which the BPE model can take directly.
+        self.plain = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+        self.memo_entries = memo_entries
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of chunks, each on its own: by the model where a chunk is a pre-token, else by the whole library."""
-        plain, tokenize, out = self.plain, self.model.tokenize, {}
+        plain, tokenize, out, rest = self.plain, self.model.tokenize, [], []
         for chunk in chunks:
-            if plain(chunk):
-                letters = (chunk.lower() if self.lower else chunk).encode().decode("latin-1").translate(_BYTE_LETTERS)
-                ids = [t.id for t in tokenize(letters)]
-                out[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-        rest = [c for c in chunks if c not in out]
-        out.update(zip(rest, self._whole(rest)))
-        return [out[c] for c in chunks]
-
-    def _whole(self, chunks: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(ids)}I", *ids) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False) for ids in (e.ids,)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """One bytes object a text; null counts as empty."""
+            text = chunk.decode()
+            if plain(text):
+                if self.drops_space:
+                    text = text.lstrip(" ").lower()
+                    if len(text) < len(chunk) and not text.isascii():
+                        text = text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                else:
+                    text = chunk.decode("latin-1").translate(_BYTE_LETTERS)
+                out.append(np.array([t.id for t in tokenize(text)], "<u4").tobytes())
+            else:
+                rest.append((len(out), text))
+                out.append(b"")
+        for (i, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False)):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def _lookup(self, chunks: list[bytes]) -> list[bytes]:
         if len(self.memo) > self.memo_entries:
             self.memo, self.older = {}, self.memo
         memo, older = self.memo, self.older
-        split = [self.splitter(t) if t else [] for t in texts]
-        found = [list(map(memo.get, chunks)) for chunks in split]
-        gaps = [(k, i) for k, ids in enumerate(found) if None in ids for i, x in enumerate(ids) if x is None]
-        new = {chunk: older.get(chunk) for chunk in {split[k][i] for k, i in gaps}}
-        missing = [chunk for chunk, ids in new.items() if ids is None]
-        for i in range(0, len(missing), 8192):
-            part = missing[i : i + 8192]
-            new.update(zip(part, self._ids(part)))
-        for k, i in gaps:
-            found[k][i] = new[split[k][i]]
-        memo.update((chunk, ids) for chunk, ids in new.items() if len(chunk) <= MEMO_CHUNK)
-        return [b"".join(ids) for ids in found]
+        found = list(map(memo.get, chunks))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        missing = []
+        for i in gaps:
+            if (ids := older.get(chunks[i])) is None:
+                missing.append(i)
+            else:
+                found[i] = memo[chunks[i]] = ids
+        for a in range(0, len(missing), 8192):
+            part = missing[a : a + 8192]
+            for i, ids in zip(part, self._ids([chunks[i] for i in part])):
+                found[i] = ids
+                if len(chunks[i]) <= MEMO_CHUNK:
+                    memo[chunks[i]] = ids
+        return found
+
+    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where chunks start; a text's first byte is always one of these."""
+        kind = _CLASS[data]
+        letter = kind == _LETTER
+        # The second byte of a two-byte Latin letter; 0xD7 and 0xF7 are signs.
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        space = kind == _SPACE
+        start = np.zeros(len(data) + 1, bool)
+        start[1:-1] = (space[1:] & ~space[:-1]) | (letter[:-1] & (kind[1:] == _MARK))
+        if not self.drops_space:  # borders beside rarer white space depend on more context: such a text stays whole
+            odd = np.flatnonzero(kind == _ODD)
+            for d in np.unique(np.searchsorted(offsets, odd, "right") - 1).tolist():
+                a, b = int(offsets[d]), int(offsets[d + 1])
+                if _ODD_SPACE.search(data[a:b].tobytes().decode()):
+                    start[a + 1 : b] = False
+        start[offsets[:-1]] = True
+        return np.flatnonzero(start[:-1])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end (uint32), and where each text's begin, with the end. Null counts as empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(texts.buffers()[1], "<i8", len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        starts = self._starts(data, offsets)
+        if self.drops_space:
+            data = np.where(_CLASS[data] == _SPACE, np.uint8(32), data)
+        lengths = np.diff(starts, append=len(data))
+        place = np.minimum(np.arange(len(data)) - np.repeat(starts, lengths), MEMO_CHUNK - 1)
+        first, second = (np.add.reduceat(data * powers[place], starts) for powers in _POWERS)
+        raw = data.tobytes()
+        for i in np.flatnonzero(lengths > MEMO_CHUNK).tolist():
+            a = int(starts[i])
+            first[i], second[i] = np.frombuffer(blake2b(raw[a : a + int(lengths[i])], digest_size=16).digest(), np.uint64)
+        order = np.argsort(first)
+        ordered = first[order]
+        new = np.concatenate([[True], (ordered[1:] != ordered[:-1])])
+        same = second[order]
+        # Equal first hashes with unequal second ones would be a collision: then every chunk counts as its own.
+        if ((same[1:] != same[:-1]) & ~new[1:]).any():
+            new[:] = True
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        chosen = order[new]
+        begin, end = starts[chosen].tolist(), (starts[chosen] + lengths[chosen]).tolist()
+        ids = self._lookup([raw[a:b] for a, b in zip(begin, end)])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        at = np.cumsum(sizes) - sizes
+        count = sizes[group]
+        ends = np.cumsum(count)
+        tokens = flat[np.repeat(at[group] - (ends - count), count) + np.arange(int(ends[-1]))]
+        upto = np.concatenate([[0], ends])
+        return tokens, upto[np.searchsorted(starts, offsets)]
 
 
 @lru_cache(4)
-def memo_tokenizer(path: str, splitter: Callable[[str], list[str]]) -> MemoTokenizer:
+def bulk_tokenizer(path: str) -> BulkTokenizer:
     """One a Python worker: later tasks find what earlier ones remembered."""
-    return MemoTokenizer(path, splitter)
+    return BulkTokenizer(path)
