@@ -259,6 +259,20 @@ def languages(docs: DataFrame, model: bytes) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_languages(docs: DataFrame, model: bytes, least_score: float, accepted: frozenset[str] | None = None) -> DataFrame:
+    """The rows of docs, all columns, whose language is known with at least this score (and is accepted, if a set is given)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(shared.value)
+        for batch in batches:
+            for piece in slices(batch, "text", 2 << 20):
+                name, score = tagger.predict(piece.column(piece.schema.get_field_index("text")).to_pylist())
+                yield piece.filter(pa.array([n != UNKNOWN and s >= least_score and (accepted is None or n in accepted) for n, s in zip(name, score.tolist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 WORD_LABELS = "array<struct<word: string, lang: string, p: double>>"
 
 

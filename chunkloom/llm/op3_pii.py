@@ -167,10 +167,16 @@ def _written_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, **settings) -> DataFrame:
+#: Documents with spans are broadcast up to so many rows; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 50_000
+
+
+def redact(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **settings) -> DataFrame:
     """docs with each found span of text replaced by its kind in brackets; overlapping spans are replaced as one,
     named after the first. Other columns stay; n_chars, where there is one, is counted anew."""
     found = personal_data(docs, **settings).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
+    found = written(found, "redactions")
+    found = F.broadcast(found) if found.count() <= broadcast_rows else found
     merged = F.expr("""aggregate(_spans, cast(array() AS array<struct<s: int, e: int, kind: string>>), (a, x) ->
         CASE WHEN size(a) > 0 AND element_at(a, -1).e > x.s
         THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e), 'kind', element_at(a, -1).kind)))

@@ -61,12 +61,13 @@ def _hits(docs: DataFrame, items: DataFrame, t: int, broadcast_rows: int) -> Dat
     return met.where(f"m = {k} AND l + m + r >= {t}").selectExpr("doc_id", "text_key", "item_id", "pos - l AS s", f"pos + {k} + r AS e")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_WORDS, hit_share: int = HIT_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_WORDS, hit_share: int = HIT_SHARE, broadcast_rows: int = BROADCAST_ROWS, keep_key: bool = False) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, item_ids and contaminated added, less clashing columns of docs.
 
     items: item_id and text. A window is window_words consecutive words of an item, or all words of a
     shorter one. Null and wordless texts have no windows and no hits. Rows that repeat an id are
-    judged each by its own text; items without an id count for hits but are not listed.
+    judged each by its own text; items without an id count for hits but are not listed. keep_key leaves
+    text_key, the hash of the text that rows were told apart by.
     """
     made = ["text_key", "n_words", "n_hit", "n_items", "item_ids", "items_sha256", "contaminated"]
     docs = docs.drop(*made).withColumn("text_key", F.xxhash64("text"))
@@ -81,11 +82,19 @@ def contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_
     union = "aggregate(array_sort(spans), struct(0L AS n, 0 AS e), (a, x) -> struct(a.n + greatest(0, x.e - greatest(x.s, a.e)) AS n, greatest(a.e, x.e) AS e), a -> a.n)"
     by_doc = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("s", "e")).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     by_doc = by_doc.select(F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_key"), F.expr(union).alias("n_hit"), "item_ids")
-    joined = docs.withColumn("n_words", F.size(words(F.col("text"))).cast("long")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & F.col("text_key").eqNullSafe(F.col("hit_key")), "left").drop("hit_doc", "hit_key", "text_key")
+    joined = docs.withColumn("n_words", F.size(words(F.col("text"))).cast("long")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & F.col("text_key").eqNullSafe(F.col("hit_key")), "left").drop("hit_doc", "hit_key", *([] if keep_key else ["text_key"]))
     full = joined.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>"))})
     return full.withColumns({"n_items": F.size("item_ids").cast("long"), "items_sha256": F.sha2(F.array_join("item_ids", ","), 256), "contaminated": (F.col("n_hit") > 0) & (hit_share * F.col("n_hit") >= F.col("n_words"))})
 
 
+def decontaminate(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **settings) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated."""
+    found = contamination(docs.select("doc_id", "text"), items, keep_key=True, **settings).where("contaminated")
+    bad = written(found.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")), "contaminated")
+    few = bad.count() <= broadcast_rows
+    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(bad["_doc"]) & (F.xxhash64(docs["text"]) == bad["_key"]), "left_anti")
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
