@@ -1,14 +1,15 @@
-"""Registered queries and their SQL."""
+"""Registered queries, their SQL, and the flagship."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from chunkloom.plans.oracles import ORACLES
+from chunkloom.plans.queries import QUERIES, retrieval
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Hybrid chunks of documents, and the four best of them for each benchmark item."""
+    return retrieval(spark, sf_dir)
