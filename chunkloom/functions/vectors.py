@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,8 +46,6 @@ def model_embedder(encode: Callable[[list[str]], list[list[float]]], batch_size:
 
     A failing call is tried again after a delay; the last failure fails the task, which Spark retries.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<array<float>>")
     def embed(texts: pd.Series) -> pd.Series:
         import time

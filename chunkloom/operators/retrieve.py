@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries scored in one pass over the vectors; more queries take more passes.
 QUERY_BLOCK = 4096
@@ -24,17 +25,18 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 4, query_block: int = QU
     found = None
     wanted = queries.where("query_id IS NOT NULL AND vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     schema = f"query_id {wanted.schema['query_id'].dataType.simpleString()}, row_id {rows.schema['row_id'].dataType.simpleString()}, score double"
+    kinds = [to_arrow_type(df.schema[name].dataType) for df, name in ((wanted, "query_id"), (rows, "row_id"))]
     numbered = wanted.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-wanted.count() // query_block)))).alias("block"))
     blocks = sorted(r[0] for r in numbered.select("block").distinct().collect())
     for block in blocks or [0]:
         part = [(r[0], r[1]) for r in numbered.where(F.col("block") == block).select("query_id", "vector").toLocalIterator()]
-        scored = rows.select("row_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_scorer(part, k, digits), schema)
+        scored = rows.select("row_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_scorer(part, kinds, k, digits), schema)
         found = scored if found is None else found.unionByName(scored)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("row_id"))
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "row_id", "score")
 
 
-def _scorer(part: list[tuple], k: int, digits: int):
+def _scorer(part: list[tuple], kinds: list[pa.DataType], k: int, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = [q for q, _ in part]
         matrix = np.array([v for _, v in part], float).reshape(len(part), -1)
@@ -54,7 +56,7 @@ def _scorer(part: list[tuple], k: int, digits: int):
             best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
             picked = np.take_along_axis(scores, best, 1)
             q, j = np.nonzero(np.isfinite(picked))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], None), pa.array(row_ids[best[q, j]]), pa.array(picked[q, j])], names=["query_id", "row_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], kinds[0]), pa.array(row_ids[best[q, j]].tolist(), kinds[1]), pa.array(picked[q, j])], names=["query_id", "row_id", "score"])
 
     return run
 

@@ -5,17 +5,18 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chunkloom.sources import docx, pdf
 from chunkloom.sources.extract import extracted
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _docx(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: docx.build(t.split("\n")))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _pdf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: pdf.build([t]))
 
