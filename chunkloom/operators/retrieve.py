@@ -38,12 +38,14 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 4, query_block: int = QU
 
 def _scorer(part: list[tuple], kinds: list[pa.DataType], k: int, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not part:
+            return
         ids = [q for q, _ in part]
         matrix = np.array([v for _, v in part], float).reshape(len(part), -1)
         lengths = np.sqrt((matrix * matrix).sum(1))
         for batch in batches:
             kept = [(r, v) for r, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if r is not None and v is not None and len(v) == matrix.shape[1]]
-            if not kept or not ids:
+            if not kept:
                 continue
             row_ids = np.array([r for r, _ in kept])
             vectors = np.array([v for _, v in kept], float)
