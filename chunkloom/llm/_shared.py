@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -44,25 +46,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: str, size_column: str | None = None) -> DataFrame:
-    """mapInArrow over only these columns, in slices of a bounded number of bytes.
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which hands memory back to the system when a task ends: Python workers outlive their tasks."""
 
-    make() runs once a task and returns a function from a dict of Python lists to a dict of lists
-    (or an Arrow table). Slices hold about SLICE_BYTES of size_column; one longer text is a slice of its own.
-    """
-    from pyspark.sql.types import _parse_datatype_string
-    from pyspark.sql.pandas.types import to_arrow_schema
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
 
-    out_schema = to_arrow_schema(_parse_datatype_string(schema))
+    return wrapped
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apply = make()
-        for batch in batches:
-            for part in slices(batch, size_column):
-                got = apply({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
-                yield from pa.table([pa.array(got[f.name], type=f.type) for f in out_schema], schema=out_schema).to_batches()
 
-    return df.select(*columns).mapInArrow(run, schema)
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library that most systems have
+    if trim:
+        trim(0)
 
 
 def slices(batch: pa.RecordBatch, size_column: str | None, limit: int = SLICE_BYTES) -> Iterable[pa.RecordBatch]:

@@ -110,7 +110,7 @@ def fit(texts: list[str], labels: list[int]) -> bytes:
 
 class Scorer:
     #: Words remembered, with what they hit; emptied beyond.
-    MOST_WORDS, MOST_LETTERS = 600_000, 16 << 20
+    MOST_WORDS, MOST_LETTERS = 300_000, 8 << 20
 
     def __init__(self, model: bytes) -> None:
         n = (len(model) // 8 - 1) // 2

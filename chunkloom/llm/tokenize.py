@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Distinct chunks remembered by a worker before the older half of the memo goes: bounds memory, never changes ids.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 350_000
 #: Longer chunks, in bytes, are neither remembered nor told apart by the vectorised hashes.
 MEMO_CHUNK = 64
 

@@ -52,7 +52,7 @@ def feature_buckets(words: list[str], sizes: Iterable[int], bits: int, prefixes:
 class WordTable:
     """Rows of scores by word, computed for many new words at once; emptied at a bound, which changes no score."""
 
-    def __init__(self, score: Callable[[list[str]], np.ndarray], most_words: int = 500_000, most_letters: int = 16 << 20) -> None:
+    def __init__(self, score: Callable[[list[str]], np.ndarray], most_words: int = 250_000, most_letters: int = 8 << 20) -> None:
         self.score, self.most_words, self.most_letters = score, most_words, most_letters
         self._empty()
 
@@ -75,7 +75,7 @@ class WordTable:
             scores = np.asarray(self.score(new), np.float32)
             used = len(index) - len(new)
             if self.table is None or len(self.table) < len(index):
-                grown = np.zeros((max(1024, 2 * len(index)), scores.shape[1]), np.float32)
+                grown = np.zeros((max(1024, len(index) * 3 // 2), scores.shape[1]), np.float32)
                 if self.table is not None:
                     grown[:used] = self.table[:used]
                 self.table = grown
