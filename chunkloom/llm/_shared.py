@@ -11,10 +11,12 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of labelled data with this remainder of crc32(doc_id) mod 4 are held out of training.
 HELD_OUT_REMAINDER = 2
 SLICE_BYTES = 4 << 20
+ROWS_SETTING, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -46,8 +48,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, which hands memory back to the system when a task ends: Python workers outlive their tasks."""
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow in batches that suit long texts; a task hands its memory back, as Python workers outlive tasks.
+
+    Lowers the session's limit of rows a batch to ARROW_ROWS where it is higher: ten thousand whole
+    texts in one batch are held several times over, in the executor and beside it.
+    """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -55,7 +61,10 @@ def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
         finally:
             release_memory()
 
-    return wrapped
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(ROWS_SETTING)) <= ARROW_ROWS:
+        conf.set(ROWS_SETTING, str(ARROW_ROWS))
+    return df.mapInArrow(wrapped, schema)
 
 
 def release_memory() -> None:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm._shared import held_out, releasing, slices
+from chunkloom.llm._shared import held_out, map_arrow, slices
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, kind: str = "int") -> DataFrame:
@@ -32,7 +32,7 @@ def fit_in_one_task(rows: DataFrame, fit: Callable[[list, list], bytes]) -> byte
         got.sort()
         yield pa.RecordBatch.from_arrays([pa.array([fit([t for _, t, _ in got], [y for _, _, y in got])], pa.binary())], names=["model"])
 
-    found = rows.repartition(1).mapInArrow(releasing(run), "model binary").collect()
+    found = map_arrow(rows.repartition(1), run, "model binary").collect()
     return bytes(found[0][0]) if found else fit([], [])
 
 
@@ -47,4 +47,4 @@ def score_texts(docs: DataFrame, model: bytes, make: Callable) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(np.asarray(scorer.scores(piece.column(1).to_pylist()), np.float64))], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInArrow(releasing(run), "doc_id long, held_out boolean, score double")
+    return map_arrow(rows, run, "doc_id long, held_out boolean, score double")

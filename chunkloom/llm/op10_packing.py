@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._shared import documents, releasing, slices
+from chunkloom.llm._shared import documents, map_arrow, slices
 from chunkloom.llm.tokenize import bulk_tokenizer
 
 SEQUENCE_TOKENS = 1024
@@ -96,7 +96,7 @@ def encode_lengths(docs: DataFrame, vocabulary: str | None = None, end_id: int =
                 crc = [[zlib.crc32(x[i : i + 4 * capacity]) for i in range(0, len(x), 4 * capacity)] for x in raw]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(crc, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "crc"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), "doc_id long, doc_tokens long, crc array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, doc_tokens long, crc array<long>")
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, capacity: int = SEQUENCE_TOKENS, group_docs: int = GROUP_DOCS) -> DataFrame:
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, c
             yield flush()
 
     groups = max(1, -(-docs.select(F.lit(1)).count() // group_docs))
-    return encode_lengths(docs, vocabulary, end_id, capacity).repartition(groups).mapInArrow(releasing(run), PIECES)
+    return map_arrow(encode_lengths(docs, vocabulary, end_id, capacity).repartition(groups), run, PIECES)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

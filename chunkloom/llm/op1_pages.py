@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkloom.llm._shared import releasing, slices, written
+from chunkloom.llm._shared import map_arrow, slices, written
 
 #: Elements whose content is never main text.
 DROPPED = frozenset("script style noscript template nav header footer aside form head title iframe object embed svg canvas button select option textarea input label fieldset dialog menu datalist audio video map math".split())
@@ -46,6 +46,8 @@ _NAMES = re.compile(r"[a-z0-9]+(?:[-_]+[a-z0-9]+)*")
 _SPACE = re.compile(r"\s+")
 
 BOILERPLATE, UNKNOWN, ARTICLE = 0, 1, 2
+#: Cells of an alignment table that are held at once; longer pairs of pages are divided.
+LCS_CELLS = 1 << 27
 
 
 def _marked(element: str, attributes: str) -> bool:
@@ -149,7 +151,7 @@ def _common(a: list[int], b: list[int], base: int) -> list[int]:
     b = [x for x in b if x in shared]
     if not left:
         return []
-    if len(left) * len(b) > 1 << 27 and len(left) > 1:  # Hirschberg: only two rows of the table at a time
+    if len(left) * len(b) > LCS_CELLS and len(left) > 1:  # Hirschberg: only two rows of the table at a time
         half = len(left) // 2
         up = _prefix_lengths([x for _, x in left[:half]], b)
         down = _prefix_lengths([x for _, x in left[half:]][::-1], b[::-1])[::-1]
@@ -160,7 +162,7 @@ def _common(a: list[int], b: list[int], base: int) -> list[int]:
 
 
 def _picked(left: list[tuple[int, int]], b: list[int], base: int) -> list[int]:
-    if len(left) * len(b) > 1 << 27 and len(left) > 1:
+    if len(left) * len(b) > LCS_CELLS and len(left) > 1:
         return [left[k][0] + base for k in _common([x for _, x in left], b, 0)]
     rows = _rows([x for _, x in left], b)
     out, j = [], len(b)
@@ -228,7 +230,7 @@ def line_table(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array([[line_hash(t) for t, _ in own] for own in lines], pa.list_(pa.int64())), pa.array([bytes(s for _, s in own) for own in lines], pa.binary())], names=["page_id", "url", "page_key", "hashes", "states"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.xxhash64("html").alias("page_key"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(releasing(run), "page_id long, url string, page_key long, hashes array<long>, states binary")
+    return map_arrow(rows, run, "page_id long, url string, page_key long, hashes array<long>, states binary")
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
@@ -258,7 +260,7 @@ def shared_lines(pages: DataFrame) -> DataFrame:
             keep = pa.array([bool(g) for g in gone], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(gone, pa.list_(pa.int32()))], names=["page_id", "url", "page_key", "gone"]).filter(keep)
 
-    return paired.mapInArrow(releasing(run), "page_id long, url string, page_key long, gone array<int>")
+    return map_arrow(paired, run, "page_id long, url string, page_key long, gone array<int>")
 
 
 def main_text(pages: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
@@ -280,7 +282,7 @@ def main_text(pages: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
                 texts = [assemble(parse_lines(page), lost) for page, lost in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return met.mapInArrow(releasing(run), "page_id long, url string, text string, n_chars long")
+    return map_arrow(met, run, "page_id long, url string, text string, n_chars long")
 
 
 def assemble(lines: list[tuple[str, int]], gone: list[int] | None) -> str:

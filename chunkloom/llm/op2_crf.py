@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._shared import documents, held_out, releasing, slices
+from chunkloom.llm._shared import documents, held_out, map_arrow, slices
 from chunkloom.llm.learn import fit_in_one_task, training_rows
 from chunkloom.llm.words import WordTable, feature_buckets
 
@@ -256,7 +256,7 @@ def languages(docs: DataFrame, model: bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(name, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInArrow(releasing(run), "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_arrow(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_languages(docs: DataFrame, model: bytes, least_score: float, accepted: frozenset[str] | None = None) -> DataFrame:
@@ -270,7 +270,7 @@ def keep_languages(docs: DataFrame, model: bytes, least_score: float, accepted:
                 name, score = tagger.predict(piece.column(piece.schema.get_field_index("text")).to_pylist())
                 yield piece.filter(pa.array([n != UNKNOWN and s >= least_score and (accepted is None or n in accepted) for n, s in zip(name, score.tolist())], pa.bool_()))
 
-    return docs.mapInArrow(releasing(run), docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 WORD_LABELS = "array<struct<word: string, lang: string, p: double>>"
@@ -292,7 +292,7 @@ def label_words(docs: DataFrame, model: bytes) -> DataFrame:
                     at += len(own)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(out, kind)], names=["doc_id", "labels"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), f"doc_id long, labels {WORD_LABELS}")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, f"doc_id long, labels {WORD_LABELS}")
 
 
 def op2_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

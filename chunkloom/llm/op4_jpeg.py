@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._shared import documents, releasing, slices
+from chunkloom.llm._shared import documents, map_arrow, slices
 
 ROW = 64
 MAX_ROWS = 8191
@@ -369,7 +369,7 @@ def store(docs: DataFrame) -> DataFrame:
                 raw = piece.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(encode_payloads([pad(x) for x in raw]), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), "doc_id long, n_bytes long, media binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_bytes long, media binary")
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -390,7 +390,7 @@ def features(media: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[x.split()[0] for x in FEATURES.split(", ")])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(releasing(run), FEATURES)
+    return map_arrow(media.select("doc_id", "n_bytes", "media"), run, FEATURES)
 
 
 def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkloom.llm._shared import documents, releasing, slices, written
+from chunkloom.llm._shared import documents, map_arrow, slices, written
 from chunkloom.llm.tokenize import bulk_tokenizer
 
 SHARD_TOKENS = 1 << 19
@@ -209,7 +209,7 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
             yield flush()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(releasing(run), "part int, seq long, start_in_part long, n_tokens long, shard binary"), "shards")
+    return written(map_arrow(ordered, run, "part int, seq long, start_in_part long, n_tokens long, shard binary"), "shards")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(starts + first, pa.int64()), pa.array(shard.lengths.astype(np.int64), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = shards.join(F.broadcast(before), "part").select((F.col("before") + F.col("start_in_part")).alias("first"), "shard")
-    return placed.mapInArrow(releasing(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(placed, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:

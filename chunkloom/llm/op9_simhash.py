@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._shared import documents, releasing, slices, written
+from chunkloom.llm._shared import documents, map_arrow, slices, written
 from chunkloom.llm.components import connected
 
 SHINGLE_WORDS = 3
@@ -66,7 +66,7 @@ def fingerprint_table(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Da
             for piece in slices(batch, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fingerprints(piece.column(1).to_pylist(), shingle_words).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long")
 
 
 def split_bits(mask: int, parts: int) -> list[int]:
@@ -201,7 +201,7 @@ def links(values: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GROUP_R
         hot = written(hot, "hot") if 1 << (64 - fixed) > group_rows else None
         again = hot is not None and not hot.isEmpty()
         now = rows.join(hot, ["mask", "value"], "left_anti") if again else rows
-        got = now.repartition("mask", "value").sortWithinPartitions("mask", "value").select("mask", "value", "fp").mapInArrow(releasing(_trie_task(max_bits)), "u long, v long")
+        got = now.repartition("mask", "value").sortWithinPartitions("mask", "value").select("mask", "value", "fp").mapInArrow(_trie_task(max_bits), "u long, v long")
         found = got if found is None else found.unionByName(got)
         if not again:
             return found
@@ -231,8 +231,14 @@ def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle_word
     else one row of them stays.
     """
     found = near_duplicates(docs, max_bits, shingle_words)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_key("doc_id")).distinct()
+    # The semi-join and the choice among repeated ids share one partitioning by the key.
+    return docs.select("*", _key("doc_id")).join(kept, "_doc_key", "left_semi").dropDuplicates(["_doc_key"]).select(*docs.columns)
+
+
+def _key(column: str) -> Column:
+    """An id as text, so that null is a value like any other."""
+    return F.coalesce(F.col(column).cast("string"), F.lit("")).alias("_doc_key")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,116 @@
+import hashlib
+import struct
+import zlib
+
+import numpy as np
+import pytest
+
+from chunkloom.llm import op4_jpeg
+from chunkloom.llm.op4_jpeg import canonical, encode_payloads, pad, thumbnails
+
+
+def payload(images):
+    return b"".join(t.tobytes() for _, t in images)
+
+
+def test_payloads_come_back():
+    rng = np.random.default_rng(5)
+    found = [bytes(64), bytes(range(256)), b"\xff" * 640, rng.integers(0, 256, 64 * 300, dtype=np.uint8).tobytes(), pad(b""), pad("héllo".encode()), pad(b"x" * 64)]
+    assert [payload(x) for x in thumbnails(encode_payloads(found))] == found
+    assert [len(pad(b"y" * n)) for n in (0, 1, 63, 64, 65)] == [64, 64, 64, 64, 128]
+    assert encode_payloads([]) == [] and thumbnails([]) == []
+
+
+def test_long_payload_is_several_images():
+    raw = np.random.default_rng(6).integers(0, 256, 64 * 20_000, dtype=np.uint8).tobytes()
+    found = thumbnails(encode_payloads([bytes(64), raw, bytes(64)]))
+    assert len(found[1]) == 3 and payload(found[1]) == raw and payload(found[2]) == bytes(64)
+    assert found[1][0][0].height == 8 * 8191
+
+
+class Bits:
+    def __init__(self):
+        self.text = ""
+
+    def put(self, value, n):
+        self.text += format(value, f"0{n}b") if n else ""
+
+    def bytes(self):
+        text = self.text + "1" * (-len(self.text) % 8)
+        return bytes(int(text[i : i + 8], 2) for i in range(0, len(text), 8)).replace(b"\xff", b"\xff\0")
+
+
+DC = {i: 4 for i in range(12)}
+AC = {0x00: 2, 0xF0: 4, 0x01: 3, 0x12: 3, 0x35: 4, 0x0A: 5}
+
+
+def foreign(width, height, components, interval, seed):
+    """A baseline image with AC values, by a plain encoder: (bytes, luminance DC values in raster order)."""
+    rng = np.random.default_rng(seed)
+    dc, ac = canonical(DC), canonical(AC)
+    h, v = max(c[0] for c in components), max(c[1] for c in components)
+    one = len(components) == 1
+    columns, rows = (-(-width // 8), -(-height // 8)) if one else (-(-width // (8 * h)), -(-height // (8 * v)))
+    grid = np.zeros((rows * (1 if one else components[0][1]), columns * (1 if one else components[0][0])), int)
+    scan, bits, last, marker = b"", Bits(), [0] * len(components), 0
+    for m in range(rows * columns):
+        if interval and m and m % interval == 0:
+            scan += bits.bytes() + bytes([0xFF, 0xD0 + marker % 8])
+            marker, bits, last = marker + 1, Bits(), [0] * len(components)
+        for k, (ch, cv) in enumerate(components):
+            for b in range(1 if one else ch * cv):
+                value = int(rng.integers(-100, 101))
+                if k == 0:
+                    y, x = divmod(b, 1 if one else ch)
+                    grid[(m // columns) * (1 if one else cv) + y, (m % columns) * (1 if one else ch) + x] = value
+                d = value - last[k]
+                last[k] = value
+                size = abs(d).bit_length()
+                bits.put(*dc[size])
+                bits.put(d if d > 0 else d + (1 << size) - 1, size)
+                at = 1
+                while at < 60 and rng.random() < 0.6:
+                    symbol = [0xF0, 0x01, 0x12, 0x35, 0x0A][int(rng.integers(5))]
+                    if at + (symbol >> 4) > 63:
+                        break
+                    bits.put(*ac[symbol])
+                    bits.put(int(rng.integers(1 << (symbol & 15))), symbol & 15)
+                    at += (symbol >> 4) + 1
+                if at < 64:
+                    bits.put(*ac[0])
+    scan += bits.bytes()
+    frame = b"".join(bytes([k + 1, ch << 4 | cv, 0]) for k, (ch, cv) in enumerate(components))
+    head = b"\xff\xd8\xff\xe0\0\4ab\xff\xdb" + struct.pack(">HB", 67, 0) + bytes([16] + [1] * 63)
+    head += b"\xff\xc0" + struct.pack(">HBHHB", 8 + len(frame), 8, height, width, len(components)) + frame + op4_jpeg._dht(0, DC) + op4_jpeg._dht(0x10, AC)
+    head += b"\xff\xdd" + struct.pack(">HH", 4, interval) if interval else b""
+    head += b"\xff\xda" + struct.pack(">HB", 6 + 2 * len(components), len(components)) + b"".join(bytes([k + 1, 0]) for k in range(len(components))) + b"\0\x3f\0"
+    return head + scan + b"\xff\xd9", grid
+
+
+@pytest.mark.parametrize("components", [[(1, 1)], [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)]])
+@pytest.mark.parametrize("interval", [0, 1, 3])
+def test_foreign_images(components, interval):
+    made = [foreign(w, h, components, interval, w) for w, h in ((8, 8), (50, 33), (64, 16), (100, 90))]
+    for (raw, grid), ((image, thumb),) in zip(made, thumbnails([raw for raw, _ in made])):
+        rows, columns = -(-image.height // 8), -(-image.width // 8)
+        assert thumb.shape == (rows, columns)
+        assert (thumb == np.clip((grid[:rows, :columns] * 16 + 4) // 8 + 128, 0, 255)).all()
+
+
+def test_broken_images_are_errors():
+    good = encode_payloads([bytes(64)])[0]
+    for raw in (b"junk", b"\xff\xd8junk", good.replace(b"\xff\xc0", b"\xff\xc2")):
+        with pytest.raises(ValueError):
+            thumbnails([raw])
+
+
+def test_query(spark, sf):
+    source = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    seen = {}
+    for r in op4_jpeg.op4_jpeg(spark, sf).collect():
+        raw = source[r.doc_id].encode()
+        whole = pad(raw)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]))
+        stored = encode_payloads([whole])[0]
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert seen.setdefault(source[r.doc_id], r.feature) == r.feature
