@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chunkloom.functions.arrays import let
+
 #: From an array of strings to an array of vectors, one each.
 Embedder = Callable[[Column], Column]
 
@@ -24,7 +26,7 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; null where a vector is zero."""
-    return F.try_divide(dot(a, b), norm(a) * norm(b))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda v: F.try_divide(dot(v["a"], v["b"]), norm(v["a"]) * norm(v["b"])))
 
 
 def cosine_distance(a: Column, b: Column, digits: int = 9) -> Column:
@@ -33,8 +35,11 @@ def cosine_distance(a: Column, b: Column, digits: int = 9) -> Column:
 
 def letter_vector(text: Column) -> Column:
     """A deterministic stand-in for a model: how often each letter a to z occurs."""
-    low = F.lower(text)
-    return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: (F.length(low) - F.length(F.replace(low, F.char(c), F.lit("")))).cast("double"))
+
+    def count(low: Column) -> Column:
+        return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: (F.length(low) - F.length(F.replace(low, F.char(c), F.lit("")))).cast("double"))
+
+    return let(F.lower(text), count)
 
 
 def letter_vectors(texts: Column) -> Column:

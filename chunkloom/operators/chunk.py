@@ -85,7 +85,16 @@ def with_sentences(df: DataFrame, text_column: str = "text", sentence_pattern: s
 
 
 def _slices(bounds: str, separator: str) -> Column:
-    return F.transform(bounds, lambda b: F.struct(F.aggregate(F.slice("_counts", b["s"] + 1, b["e"] - b["s"]), F.lit(0), lambda a, x: a + x).cast("long").alias("n_tokens"), F.array_join(F.slice("_sents", b["s"] + 1, b["e"] - b["s"]), separator).alias("text")))
+    """Chunks of the runs of sentences in a column of bounds."""
+
+    def cut(d: Column) -> Column:
+        def piece(run: Column) -> Column:
+            counts, sents = (F.slice(d[name], run["s"] + 1, run["e"] - run["s"]) for name in ("counts", "sents"))
+            return F.struct(F.aggregate(counts, F.lit(0), lambda total, x: total + x).cast("long").alias("n_tokens"), F.array_join(sents, separator).alias("text"))
+
+        return F.transform(d["bounds"], piece)
+
+    return let(F.struct(F.col("_counts").alias("counts"), F.col("_sents").alias("sents"), F.col(bounds).alias("bounds")), cut)
 
 
 def sentence_pack(df: DataFrame, size: int = 512, overlap: int = 100, text_column: str = "text", sentence_pattern: str = tx.SENTENCE_LATIN, token_pattern: str = tx.WORD, separator: str = " ") -> DataFrame:
@@ -98,17 +107,30 @@ def sentence_pack(df: DataFrame, size: int = 512, overlap: int = 100, text_colum
 def sentence_window(df: DataFrame, window: int = 3, text_column: str = "text", sentence_pattern: str = tx.SENTENCE_LATIN, separator: str = " ") -> DataFrame:
     """One row a sentence, with its window of neighbours on both sides, clipped at the document's ends."""
     keep = _others(df, text_column)
-    n = F.size("_sents")
-    nodes = F.transform("_sents", lambda s, i: F.struct(tx.token_count(s).cast("long").alias("n_tokens"), s.alias("text"), s.alias("original_text"), F.array_join(F.slice("_sents", F.greatest(i - window, F.lit(0)) + 1, F.least(i + window + 1, n) - F.greatest(i - window, F.lit(0))), separator).alias("window")))
+
+    def nodes(sents: Column) -> Column:
+        def node(s: Column, i: Column) -> Column:
+            first = F.greatest(i - window, F.lit(0))
+            around = F.slice(sents, first + 1, F.least(i + window + 1, F.size(sents)) - first)
+            return F.struct(tx.token_count(s).cast("long").alias("n_tokens"), s.alias("text"), s.alias("original_text"), F.array_join(around, separator).alias("window"))
+
+        return F.transform(sents, node)
+
     split = df.withColumn("_sents", tx.sentences(F.coalesce(F.col(text_column), F.lit("")), sentence_pattern))
-    return _rows(split, nodes, keep)
+    return _rows(split, let(F.col("_sents"), nodes), keep)
 
 
 def with_distances(df: DataFrame, buffer_size: int = 1, embedder: vx.Embedder = vx.letter_vectors, separator: str = " ") -> DataFrame:
     """From _sents: _dists, the cosine distance between the buffered groups of neighbouring sentences."""
-    n = F.size("_sents")
-    groups = F.transform("_sents", lambda s, i: F.array_join(F.slice("_sents", F.greatest(i - buffer_size, F.lit(0)) + 1, F.least(i + buffer_size + 1, n) - F.greatest(i - buffer_size, F.lit(0))), separator))
-    return df.withColumn("_dists", _adjacent(embedder(groups), lambda a, b: vx.cosine_distance(a, b)))
+
+    def groups(sents: Column) -> Column:
+        def group(_: Column, i: Column) -> Column:
+            first = F.greatest(i - buffer_size, F.lit(0))
+            return F.array_join(F.slice(sents, first + 1, F.least(i + buffer_size + 1, F.size(sents)) - first), separator)
+
+        return F.transform(sents, group)
+
+    return df.withColumn("_dists", _adjacent(embedder(let(F.col("_sents"), groups)), vx.cosine_distance))
 
 
 def _adjacent(vectors: Column, measure: Callable[[Column, Column], Column]) -> Column:
@@ -121,12 +143,17 @@ def _adjacent(vectors: Column, measure: Callable[[Column, Column], Column]) -> C
 
 
 def _with_semantic_bounds(df: DataFrame, percentile: float) -> DataFrame:
-    """Adds _threshold and _sem, the runs of sentences between breaks; a null distance never breaks."""
-    judged = df.withColumn("_threshold", F.round(percentile_of(F.col("_dists"), percentile / 100), 9))
-    cuts = F.filter(F.transform("_dists", lambda d, i: F.when(d > F.col("_threshold"), i + 1)), lambda c: c.isNotNull())
-    cut = judged.withColumn("_cuts", F.concat(F.array(F.lit(0)), cuts, F.array(F.size("_sents"))))
-    runs = F.transform(F.sequence(F.lit(0), F.size("_cuts") - 2), lambda i: F.struct(F.get("_cuts", i).alias("s"), F.get("_cuts", i + 1).alias("e")))
-    return cut.withColumn("_sem", F.filter(runs, lambda r: r["e"] > r["s"]))
+    """Adds _sem, the runs of sentences between breaks; a null distance never breaks."""
+
+    def breaks(dists: Column) -> Column:
+        line = F.round(percentile_of(dists, percentile / 100), 9)
+        return let(line, lambda t: F.filter(F.transform(dists, lambda d, i: F.when(d > t, i + 1)), lambda c: c.isNotNull()))
+
+    def runs(cuts: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), lambda i: F.struct(F.get(cuts, i).alias("s"), F.get(cuts, i + 1).alias("e")))
+        return F.filter(pairs, lambda r: r["e"] > r["s"])
+
+    return df.withColumn("_sem", let(F.concat(F.array(F.lit(0)), let(F.col("_dists"), breaks), F.array(F.size("_sents"))), runs))
 
 
 def semantic_split(df: DataFrame, percentile: float = 95, buffer_size: int = 1, embedder: vx.Embedder = vx.letter_vectors, text_column: str = "text", sentence_pattern: str = tx.SENTENCE_LATIN, separator: str = " ") -> DataFrame:
