@@ -52,12 +52,16 @@ def transfer_marginals(emission: np.ndarray, lengths: np.ndarray, transition: np
     size, start = size[order], start[order]
     live = np.searchsorted(-size, -np.arange(BLOCK), "left")  # blocks longer than t, all in front
     n = len(size)
+    opening = nth[order] == 0  # no transition leads to a sequence's first word
     matrix = np.broadcast_to(np.eye(labels, dtype=np.float32), (n, labels, labels)).copy()
     for t in range(BLOCK):
         k = int(live[t])
         if not k:
             break
-        step = (matrix[:k].reshape(-1, labels) @ transition).reshape(k, labels, labels) * emission[start[:k] + t][:, None, :]
+        step = (matrix[:k].reshape(-1, labels) @ transition).reshape(k, labels, labels)
+        if not t:
+            step[opening[:k]] = np.eye(labels, dtype=np.float32)
+        step = step * emission[start[:k] + t][:, None, :]
         matrix[:k] = step / step.max(axis=(1, 2), keepdims=True)
     # Vectors at borders: one step a block, for all sequences that still have one.
     at = np.empty(n, np.int64)
@@ -87,7 +91,10 @@ def transfer_marginals(emission: np.ndarray, lengths: np.ndarray, transition: np
         k = int(live[t])
         if not k:
             break
-        v = (v[:k] @ transition) * emission[start[:k] + t]
+        moved = v[:k] @ transition
+        if not t:
+            moved[opening[:k]] = v[:k][opening[:k]]
+        v = moved * emission[start[:k] + t]
         v /= v.sum(1, keepdims=True)
         forward[start[:k] + t] = v
     back = right

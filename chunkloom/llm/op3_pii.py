@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._shared import documents, written
+from chunkloom.llm._shared import documents, free_names, written
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = "id"
@@ -174,17 +174,18 @@ BROADCAST_ROWS = 50_000
 def redact(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **settings) -> DataFrame:
     """docs with each found span of text replaced by its kind in brackets; overlapping spans are replaced as one,
     named after the first. Other columns stay; n_chars, where there is one, is counted anew."""
-    found = personal_data(docs, **settings).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
-    found = written(found, "redactions")
+    doc, key, at, runs = free_names(docs, "found_doc", "found_key", "found_spans", "found_runs")
+    found = personal_data(docs, **settings).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
+    found = written(found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("spans").alias(at)), "redactions")
     found = F.broadcast(found) if found.count() <= broadcast_rows else found
-    merged = F.expr("""aggregate(_spans, cast(array() AS array<struct<s: int, e: int, kind: string>>), (a, x) ->
+    merged = F.expr(f"""aggregate({at}, cast(array() AS array<struct<s: int, e: int, kind: string>>), (a, x) ->
         CASE WHEN size(a) > 0 AND element_at(a, -1).e > x.s
         THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e), 'kind', element_at(a, -1).kind)))
         ELSE concat(a, array(named_struct('s', x.s, 'e', x.e, 'kind', x.kind))) END)""")
-    pieces = F.expr("""concat(array_join(transform(_merged, (x, i) -> concat(substring(text, coalesce(get(_merged, i - 1).e, 0) + 1, x.s - coalesce(get(_merged, i - 1).e, 0)), '[', upper(x.kind), ']')), ''),
-        substring(text, element_at(_merged, -1).e + 1))""")
-    joined = docs.withColumn("_text_key", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")), "left")
-    out = joined.withColumn("_merged", F.when(F.col("_spans").isNotNull(), merged)).withColumn("text", F.when(F.col("_merged").isNull(), F.col("text")).otherwise(pieces))
+    pieces = F.expr(f"""concat(array_join(transform({runs}, (x, i) -> concat(substring(text, coalesce(get({runs}, i - 1).e, 0) + 1, x.s - coalesce(get({runs}, i - 1).e, 0)), '[', upper(x.kind), ']')), ''),
+        substring(text, element_at({runs}, -1).e + 1))""")
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left")
+    out = joined.withColumn(runs, F.when(F.col(at).isNotNull(), merged)).withColumn("text", F.when(F.col(runs).isNull(), F.col("text")).otherwise(pieces))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._shared import documents, written
+from chunkloom.llm._shared import documents, free_names, written
 
 WINDOW_WORDS = 13
 GRAM_WORDS = 5
@@ -81,8 +81,9 @@ def contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_
         hits = hits.unionByName(_hits(doc_rows, item_rows.where(F.size("h") == n), n, broadcast_rows))
     union = "aggregate(array_sort(spans), struct(0L AS n, 0 AS e), (a, x) -> struct(a.n + greatest(0, x.e - greatest(x.s, a.e)) AS n, greatest(a.e, x.e) AS e), a -> a.n)"
     by_doc = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("s", "e")).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    by_doc = by_doc.select(F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_key"), F.expr(union).alias("n_hit"), "item_ids")
-    joined = docs.withColumn("n_words", F.size(words(F.col("text"))).cast("long")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & F.col("text_key").eqNullSafe(F.col("hit_key")), "left").drop("hit_doc", "hit_key", *([] if keep_key else ["text_key"]))
+    hit_doc, hit_key = free_names(docs, "hit_doc", "hit_key")
+    by_doc = by_doc.select(F.col("doc_id").alias(hit_doc), F.col("text_key").alias(hit_key), F.expr(union).alias("n_hit"), "item_ids")
+    joined = docs.withColumn("n_words", F.size(words(F.col("text"))).cast("long")).join(by_doc, F.col("doc_id").eqNullSafe(F.col(hit_doc)) & F.col("text_key").eqNullSafe(F.col(hit_key)), "left").drop(hit_doc, hit_key, *([] if keep_key else ["text_key"]))
     full = joined.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>"))})
     return full.withColumns({"n_items": F.size("item_ids").cast("long"), "items_sha256": F.sha2(F.array_join("item_ids", ","), 256), "contaminated": (F.col("n_hit") > 0) & (hit_share * F.col("n_hit") >= F.col("n_words"))})
 
@@ -90,9 +91,10 @@ def contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_
 def decontaminate(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **settings) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated."""
     found = contamination(docs.select("doc_id", "text"), items, keep_key=True, **settings).where("contaminated")
-    bad = written(found.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")), "contaminated")
+    doc, key = free_names(docs, "bad_doc", "bad_key")
+    bad = written(found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)), "contaminated")
     few = bad.count() <= broadcast_rows
-    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(bad["_doc"]) & (F.xxhash64(docs["text"]) == bad["_key"]), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left_anti")
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm._shared import documents, map_arrow, slices, written
+from chunkloom.llm._shared import documents, free_names, map_arrow, slices, written
 from chunkloom.llm.components import connected
 
 SHINGLE_WORDS = 3
@@ -231,14 +231,12 @@ def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle_word
     else one row of them stays.
     """
     found = near_duplicates(docs, max_bits, shingle_words)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(_key("doc_id")).distinct()
+    (key,) = free_names(docs, "_key")
+    # An id as text, so that null is a value like any other.
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(named).distinct()
     # The semi-join and the choice among repeated ids share one partitioning by the key.
-    return docs.select("*", _key("doc_id")).join(kept, "_doc_key", "left_semi").dropDuplicates(["_doc_key"]).select(*docs.columns)
-
-
-def _key(column: str) -> Column:
-    """An id as text, so that null is a value like any other."""
-    return F.coalesce(F.col(column).cast("string"), F.lit("")).alias("_doc_key")
+    return docs.select("*", named).join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

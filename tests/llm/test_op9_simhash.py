@@ -66,18 +66,22 @@ def test_split_bits():
     assert sum(parts) == (1 << 64) - 1 and [bin(p).count("1") for p in parts] == [21, 21, 22]
 
 
-@pytest.mark.parametrize("group_rows", [2, 100_000])
+@pytest.mark.parametrize("group_rows", [100, 100_000])
 def test_links_equal_all_pairs(spark, group_rows):
-    """A tiny group limit forces every split of hot groups; no link may be lost."""
+    """600 values agree on a whole block, which the lesser limit splits further; no link may be lost."""
     rng = np.random.default_rng(7)
-    values = sorted(set(clustered(rng, 150).view(np.int64).tolist()) | {0, 1, 3, -1, -2})
+    some = rng.integers(0, 2**43, 600, dtype=np.uint64) << np.uint64(21) | np.uint64(12345)
+    flips = [np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64) for _ in range(2)]
+    unsigned = np.unique(np.concatenate([some, some[:200] ^ flips[0], some[100:300] ^ flips[0] ^ flips[1], np.array([0, 1, 3], np.uint64)]))
+    values = unsigned.view(np.int64).tolist()
     df = spark.createDataFrame([(v,) for v in values], "fp long")
-    found = components.connected(op9_simhash.links(df, 2, group_rows))
-    root = {r.u: r.v for r in found.collect()}
-    unsigned = np.array(values, np.int64).view(np.uint64)
-    expected = classes(len(values), near(unsigned, [0] * len(values), 2))
-    got = [root.get(v, v) for v in values]
-    assert [[values[i] for i in range(len(values)) if expected[i] == c] for c in sorted(set(expected))] == sorted([[v for v, g in zip(values, got) if g == c] for c in set(got)])
+    root = {r.u: r.v for r in components.connected(op9_simhash.links(df, 2, group_rows)).collect()}
+    linked = [(i, int(j)) for i in range(len(unsigned)) for j in np.flatnonzero(np.bitwise_count(unsigned[:i] ^ unsigned[i]) <= 2)]
+    expected, got = {}, {}
+    for v, c in zip(values, classes(len(values), linked)):
+        expected.setdefault(c, set()).add(v)
+        got.setdefault(root.get(v, v), set()).add(v)
+    assert len(linked) > 200 and sorted(map(sorted, expected.values())) == sorted(map(sorted, got.values()))
 
 
 def test_components(spark):
