@@ -24,6 +24,8 @@ from chunkloom.llm.tokenize import bulk_tokenizer
 SEQUENCE_TOKENS = 1024
 END_ID = 0
 GROUP_DOCS = 4096
+#: Chunks remembered by a worker, and with them its memory; see tokenize.
+MEMO_ENTRIES = 120_000
 
 
 class CapacityTree:
@@ -88,9 +90,9 @@ def encode_lengths(docs: DataFrame, vocabulary: str | None = None, end_id: int =
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bulk_tokenizer(vocabulary)
+        encoder = bulk_tokenizer(vocabulary, MEMO_ENTRIES)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", 1 << 20):
                 tokens, at = encoder.encode(piece.column(1))
                 raw = [tokens[a:b].tobytes() + end for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 crc = [[zlib.crc32(x[i : i + 4 * capacity]) for i in range(0, len(x), 4 * capacity)] for x in raw]

@@ -152,6 +152,6 @@ class BulkTokenizer:
 
 
 @lru_cache(4)
-def bulk_tokenizer(path: str) -> BulkTokenizer:
+def bulk_tokenizer(path: str, memo_entries: int = MEMO_ENTRIES) -> BulkTokenizer:
     """One a Python worker: later tasks find what earlier ones remembered."""
-    return BulkTokenizer(path)
+    return BulkTokenizer(path, memo_entries)
