@@ -14,8 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from chunkloom.llm._shared import documents, free_names, map_arrow, slices, written
 from chunkloom.llm.components import connected
@@ -209,6 +210,13 @@ def links(values: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GROUP_R
         children = {s: [] for subs in below.values() for s in subs}
 
 
+def _rooted(table: DataFrame, max_bits: int, group_rows: int) -> DataFrame:
+    """table: doc_id and fp. Each fp once with first_doc, its least doc_id, and root, the least fp of its component."""
+    distinct = written(table.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
+    stars = connected(links(distinct.select("fp"), max_bits, group_rows))
+    return distinct.join(stars.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, fp (signed long) and component_id, the least doc_id reachable over links of at most max_bits bits.
 
@@ -216,27 +224,40 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle_words: in
     has no other. An empty table gives an empty result; other columns are ignored.
     """
     table = written(fingerprint_table(docs, shingle_words), "fingerprints")
-    distinct = written(table.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
-    stars = connected(links(distinct.select("fp"), max_bits, group_rows))
-    rooted = distinct.join(stars.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(table, max_bits, group_rows)
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     classes = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return table.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of docs with the least doc_id of their group; of rows that repeat an id, one stays.
+    """One row of docs for each group of near-duplicates, that with the least doc_id.
 
-    Rows without an id belong to no named document and are dropped when their group has a named one,
-    else one row of them stays.
+    Groups are told apart by their texts alone: rows that share an id, or have none, and hold different
+    texts are different documents. A row without an id stays only if its group has no named one.
     """
-    found = near_duplicates(docs, max_bits, shingle_words)
-    (key,) = free_names(docs, "_key")
-    # An id as text, so that null is a value like any other.
-    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(key)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(named).distinct()
-    # The semi-join and the choice among repeated ids share one partitioning by the key.
-    return docs.select("*", named).join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    key, fp = free_names(docs, "_key", "_fp")
+    sources = docs.select("*", F.col("doc_id").cast("long").alias(key), F.col("text").cast("string").alias(fp))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, fp, 1 << 20):
+                found = fingerprints(piece.column(piece.num_columns - 1).to_pylist(), shingle_words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(found)], names=piece.schema.names)
+
+    # Written with its fingerprint, each row is found again by it, whatever its id.
+    table = written(map_arrow(sources, run, StructType([*sources.schema.fields[:-1], StructField(fp, LongType())])), "fingerprints")
+    rooted = _rooted(table.select(F.col(key).alias("doc_id"), F.col(fp).alias("fp")), max_bits, GROUP_ROWS)
+    best = F.min(F.struct(F.col("first_doc").isNull().alias("unnamed"), "first_doc", "fp")).alias("best")
+
+    def named(fp: str, doc_id: str) -> Column:
+        # As text, so that null is a value like any other.
+        return F.concat_ws(" ", F.col(fp).cast("string"), F.col(doc_id).cast("string")).alias(key)
+
+    kept = rooted.groupBy("root").agg(best).select(named("best.fp", "best.first_doc"))
+    rows = table.select(*docs.columns, named(fp, key))
+    # The semi-join and the choice among equal rows share one partitioning by the key.
+    return rows.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,3 +109,13 @@ def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(1))
     kept = sorted((-1 if r.doc_id is None else r.doc_id) for r in op9_simhash.drop_near_duplicates(docs).collect())
     assert kept == [-1, 1, 5, 7]
+
+
+def test_groups_are_told_apart_by_text(spark):
+    """Different texts without an id, or under one id, all stay; of a mixed group the named row does."""
+    rows = [(None, "a lonely row of words"), (None, "quite another text here"), (None, "a lonely row of words"), (1, "one two three four"), (2, "one two three four"), (2, "a text of its own")]
+    rows += [(None, "five six seven eight"), (3, "five six seven eight"), (3, "the unique second text"), (3, "the unique second text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in op9_simhash.drop_near_duplicates(docs).collect()), key=str)
+    expected = [(None, "a lonely row of words"), (None, "quite another text here"), (1, "one two three four"), (2, "a text of its own"), (3, "five six seven eight"), (3, "the unique second text")]
+    assert kept == sorted(expected, key=str)
