@@ -196,7 +196,11 @@ def links(values: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GROUP_R
         below = {m: [m | part for part in split_bits(full & ~m, max_bits + 1)] for m in children} if 0 not in children else {0: children[0]}
         masks = F.create_map(*[x for m, subs in below.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(s)) for s in subs]))])
         rows = rows.select(F.explode(F.element_at(masks, F.col("mask"))).alias("mask"), "fp").select("mask", F.expr("fp & mask").alias("value"), "fp")
-        fixed = min(bin(s).count("1") for subs in below.values() for s in subs)
+        unions = [s for subs in below.values() for s in subs]
+        if len(set(unions)) < len(unions):
+            # Different masks can grow to the same one, which then has each value once for each of them.
+            rows = rows.distinct()
+        fixed = min(bin(s).count("1") for s in unions)
         hot = rows.groupBy("mask", "value").count().where(F.col("count") > group_rows).select("mask", "value")
         # Once the free bits allow no more than group_rows values a group, none can be larger.
         hot = written(hot, "hot") if 1 << (64 - fixed) > group_rows else None
@@ -207,7 +211,7 @@ def links(values: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GROUP_R
         if not again:
             return found
         rows = rows.join(hot, ["mask", "value"], "left_semi")
-        children = {s: [] for subs in below.values() for s in subs}
+        children = {s: [] for s in unions}
 
 
 def _rooted(table: DataFrame, max_bits: int, group_rows: int) -> DataFrame:

@@ -84,6 +84,29 @@ def test_links_equal_all_pairs(spark, group_rows):
     assert len(linked) > 200 and sorted(map(sorted, expected.values())) == sorted(map(sorted, got.values()))
 
 
+@pytest.mark.parametrize("group_rows", [350, 100])
+def test_links_where_masks_meet_again(spark, group_rows):
+    """On the third split bits 0-43 are reached from two masks; both are hot here, and pairs that differ beyond 43 must not be lost."""
+    rng = np.random.default_rng(11)
+    some = rng.integers(0, 2**63, 610, dtype=np.uint64) << np.uint64(1)
+
+    def agree(part, *runs):
+        mask = np.uint64(sum(1 << b for lo, hi in runs for b in range(lo, hi + 1)))
+        return part & ~mask | np.uint64(0x123456789ABCDEF0) & mask
+
+    shared, first, second = agree(some[:150], (0, 43)), agree(some[150:380], (0, 34)), agree(some[380:], (0, 13), (21, 41))
+    pairs = shared[:40] ^ (np.uint64(1) << np.uint64(45)) ^ (np.uint64(1) << np.uint64(60))
+    unsigned = np.unique(np.concatenate([shared, first, second, pairs]))
+    values = unsigned.view(np.int64).tolist()
+    root = {r.u: r.v for r in components.connected(op9_simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), 2, group_rows)).collect()}
+    linked = [(i, int(j)) for i in range(len(unsigned)) for j in np.flatnonzero(np.bitwise_count(unsigned[:i] ^ unsigned[i]) <= 2)]
+    expected, got = {}, {}
+    for v, c in zip(values, classes(len(values), linked)):
+        expected.setdefault(c, set()).add(v)
+        got.setdefault(root.get(v, v), set()).add(v)
+    assert len(linked) >= 40 and sorted(map(sorted, expected.values())) == sorted(map(sorted, got.values()))
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 300)] + [(rng.randint(2000, 2200), rng.randint(2000, 2200)) for _ in range(150)] + [(7, 7)]
