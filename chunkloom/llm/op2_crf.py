@@ -224,23 +224,38 @@ class Tagger:
 
         self.table = WordTable(score)
 
-    def tag(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-        """Words of each text, their number, and the marginals of all of them."""
+    def _weighed(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+        """Words of each text, their number, and the emission weights of all of them."""
         split = [words(t) for t in texts]
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         if not lengths.sum():
             return split, lengths, np.zeros((0, self.transition.shape[0]), np.float32)
-        emission = self.table.rows([w for own in split for w in own])
-        return split, lengths, transfer_marginals(emission, lengths[lengths > 0], self.transition)
+        return split, lengths, self.table.rows([w for own in split for w in own])
+
+    def tag(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+        """Words of each text, their number, and the marginals of all of them."""
+        split, lengths, emission = self._weighed(texts)
+        return split, lengths, transfer_marginals(emission, lengths[lengths > 0], self.transition) if len(emission) else emission
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        _, lengths, marginal = self.tag(texts)
-        sums = np.diff(np.concatenate([np.zeros((1, marginal.shape[1])), np.cumsum(marginal, axis=0, dtype=np.float64)])[np.concatenate([[0], np.cumsum(lengths)])], axis=0)
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score, and evidence: how sure a text's words are of some language each without their neighbours,
+        on average, from 0 (as sure of one as of any) to 1. Transitions alone can make unknown words score high.
+        With one language there is nothing to compare, and evidence is 1."""
+        _, lengths, emission = self._weighed(texts)
+        marginal = transfer_marginals(emission, lengths[lengths > 0], self.transition) if len(emission) else emission
+        labels = self.transition.shape[0]
+        sure = (emission.max(1) / emission.sum(1) * labels - 1) / (labels - 1) if labels > 1 else np.ones(len(emission))
+        borders = np.concatenate([[0], np.cumsum(lengths)])
+        evidence = np.diff(np.concatenate([[0], np.cumsum(sure, dtype=np.float64)])[borders]) / np.maximum(lengths, 1)
+        sums = np.diff(np.concatenate([np.zeros((1, marginal.shape[1])), np.cumsum(marginal, axis=0, dtype=np.float64)])[borders], axis=0)
         best = sums.argmax(1)
         score = np.clip(sums[np.arange(len(best)), best] / np.maximum(lengths, 1), 0, 1)
         empty = lengths == 0
         score[empty] = 0
-        return [UNKNOWN if e or not self.names else self.names[b] for e, b in zip(empty.tolist(), best.tolist())], score
+        return [UNKNOWN if e or not self.names else self.names[b] for e, b in zip(empty.tolist(), best.tolist())], score, evidence
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> bytes:
@@ -266,16 +281,17 @@ def languages(docs: DataFrame, model: bytes) -> DataFrame:
     return map_arrow(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_languages(docs: DataFrame, model: bytes, least_score: float, accepted: frozenset[str] | None = None) -> DataFrame:
-    """The rows of docs, all columns, whose language is known with at least this score (and is accepted, if a set is given)."""
+def keep_languages(docs: DataFrame, model: bytes, least_score: float, accepted: frozenset[str] | None = None, least_evidence: float = 0) -> DataFrame:
+    """The rows of docs, all columns, whose language is known with at least this score and evidence (and is accepted, if a set is given)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for batch in batches:
             for piece in slices(batch, "text", 1 << 20):
-                name, score = tagger.predict(piece.column(piece.schema.get_field_index("text")).to_pylist())
-                yield piece.filter(pa.array([n != UNKNOWN and s >= least_score and (accepted is None or n in accepted) for n, s in zip(name, score.tolist())], pa.bool_()))
+                name, score, evidence = tagger.judge(piece.column(piece.schema.get_field_index("text")).to_pylist())
+                sure = (score >= least_score) & (evidence >= least_evidence)
+                yield piece.filter(pa.array([n != UNKNOWN and s and (accepted is None or n in accepted) for n, s in zip(name, sure.tolist())], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
 

@@ -39,3 +39,16 @@ def test_stages_against_brute_force(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_unlearned_scripts_go(spark, sf):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    strange = ["Это простой текст на русском языке, который никто не изучал", "Αυτό είναι ένα απλό κείμενο στα ελληνικά", "这是一个没有学过的语言的文本 应该被拒绝", "*** ### 12 {} ;;"]
+    more = [docs.limit(1).withColumns({"doc_id": F.lit(-1 - i).cast(docs.schema["doc_id"].dataType), "text": F.lit(t), "lang": F.lit(None).cast("string")}) for i, t in enumerate(strange)]
+    mixed = docs
+    for row in more:
+        mixed = mixed.unionByName(row)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, mixed, sf).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
