@@ -33,7 +33,8 @@ _CLASS[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = _ODD  # b
 #: Byte-level BPE writes a byte as the character of that code if it is printable, else as the next one from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
-_POWERS = [np.cumprod(np.full(MEMO_CHUNK, m, np.uint64)) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+#: A power for each place of a chunk, and what its length is multiplied by, for each of two hashes.
+_HASHES = [(np.cumprod(np.full(MEMO_CHUNK, m, np.uint64)), np.uint64(k)) for m, k in ((0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9), (0xD6E8FEB86659FD93, 0x94D049BB133111EB))]
 
 
 class BulkTokenizer:
@@ -111,6 +112,30 @@ class BulkTokenizer:
         start[offsets[:-1]] = True
         return np.flatnonzero(start[:-1])
 
+    @staticmethod
+    def _groups(data: np.ndarray, raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One chunk for each distinct content, and for each chunk which of these it equals.
+
+        Hashes only propose groups: every chunk is compared with its group's, byte by byte.
+        """
+        place = np.arange(len(data)) - np.repeat(starts, lengths)
+        near = np.minimum(place, MEMO_CHUNK - 1)
+        wide = data + np.uint64(1)  # so that a NUL at the end of a chunk counts
+        first, second = (np.add.reduceat(wide * powers[near], starts) + lengths.astype(np.uint64) * by for powers, by in _HASHES)
+        del near, wide
+        for i in np.flatnonzero(lengths > MEMO_CHUNK).tolist():
+            a = int(starts[i])
+            first[i], second[i] = np.frombuffer(blake2b(raw[a : a + int(lengths[i])], digest_size=16).digest(), np.uint64)
+        order = np.lexsort((second, first))
+        new = np.concatenate([[True], (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])])
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        chosen = order[new]
+        if (lengths[chosen][group] == lengths).all() and (data[np.repeat(starts[chosen][group], lengths) + place] == data).all():
+            return chosen, group
+        every = np.arange(len(starts))  # a collision: every chunk counts as its own
+        return every, every
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end (uint32), and where each text's begin, with the end. Null counts as empty."""
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -123,22 +148,8 @@ class BulkTokenizer:
         if self.drops_space:
             data = np.where(_CLASS[data] == _SPACE, np.uint8(32), data)
         lengths = np.diff(starts, append=len(data))
-        place = np.minimum(np.arange(len(data)) - np.repeat(starts, lengths), MEMO_CHUNK - 1)
-        first, second = (np.add.reduceat(data * powers[place], starts) for powers in _POWERS)
         raw = data.tobytes()
-        for i in np.flatnonzero(lengths > MEMO_CHUNK).tolist():
-            a = int(starts[i])
-            first[i], second[i] = np.frombuffer(blake2b(raw[a : a + int(lengths[i])], digest_size=16).digest(), np.uint64)
-        order = np.argsort(first)
-        ordered = first[order]
-        new = np.concatenate([[True], (ordered[1:] != ordered[:-1])])
-        same = second[order]
-        # Equal first hashes with unequal second ones would be a collision: then every chunk counts as its own.
-        if ((same[1:] != same[:-1]) & ~new[1:]).any():
-            new[:] = True
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(new) - 1
-        chosen = order[new]
+        chosen, group = self._groups(data, raw, starts, lengths)
         begin, end = starts[chosen].tolist(), (starts[chosen] + lengths[chosen]).tolist()
         ids = self._lookup([raw[a:b] for a, b in zip(begin, end)])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
