@@ -1,10 +1,10 @@
 """Packing by first-fit decreasing over a tournament tree of bin capacities.
 
 Documents are encoded where they are read; only piece lengths and checksums travel on. They are
-dealt round robin into groups of about group_docs documents, which ignores every key, so a hot
-source or id cannot fill one group. Each group is packed on its own: pieces in falling length
-go to the leftmost open sequence with room, found by descending a tree whose inner nodes hold the
-largest room below them.
+dealt by a seeded hash of what they are and where they were read, so a hot source, id or text cannot
+fill one task. A task cuts what it gets into groups of at most group_docs documents and packs each
+on its own: pieces in falling length go to the leftmost open sequence with room, found by descending
+a tree whose inner nodes hold the largest room below them.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from chunkloom.llm.tokenize import bulk_tokenizer
 SEQUENCE_TOKENS = 1024
 END_ID = 0
 GROUP_DOCS = 4096
+SEED = 17
 #: Chunks remembered by a worker, and with them its memory; see tokenize.
 MEMO_ENTRIES = 120_000
 
@@ -101,9 +102,15 @@ def encode_lengths(docs: DataFrame, vocabulary: str | None = None, end_id: int =
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, doc_tokens long, crc array<long>")
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, capacity: int = SEQUENCE_TOKENS, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, capacity: int = SEQUENCE_TOKENS, group_docs: int = GROUP_DOCS, seed: int = SEED) -> DataFrame:
     """One row a piece with its sequence and offset. Null text is an empty document (its end id alone);
-    null and repeated ids are packed like any other row; an empty table gives no rows."""
+    null and repeated ids are packed like any other row; an empty table gives no rows.
+
+    Tasks are as many as the session's shuffle partitions, fewer where the groups are fewer: what a task
+    packs grows with the input, group after group, and the number of partitions does not. Which documents
+    meet in a group depends on the seed and on how the table is split; rows alike in id and tokens are
+    interchangeable. Pieces of equal length keep the order in which their task got them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 36
@@ -134,7 +141,10 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, c
             yield flush()
 
     groups = max(1, -(-docs.select(F.lit(1)).count() // group_docs))
-    return map_arrow(encode_lengths(docs, vocabulary, end_id, capacity).repartition(groups), run, PIECES)
+    tasks = min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    encoded = encode_lengths(docs, vocabulary, end_id, capacity)
+    dealt = encoded.repartition(tasks, F.xxhash64(F.lit(seed), "doc_id", "doc_tokens", "crc", F.monotonically_increasing_id()))
+    return map_arrow(dealt, run, PIECES)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
