@@ -172,9 +172,11 @@ class Shard:
 def write_shards(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encodes documents in ascending doc_id order and writes them as shards; returns the written table.
 
-    Null ids come first, null text is empty, documents of one id are ordered by text. A range
-    partitioning on doc_id orders shards across tasks; a task holds one shard at a time, and a
-    document longer than shard_tokens is a shard of its own. An empty table gives no shards.
+    Null ids come first, null text is empty, documents of one id are ordered by a hash of their text,
+    and by the text where hashes meet. A range partitioning on id, hash and place of reading orders
+    shards across tasks, so rows that share an id, or have none, are spread over as many tasks as their
+    number asks for. A task holds one shard at a time, and a document longer than shard_tokens is a
+    shard of its own. An empty table gives no shards.
     """
     if vocabulary is None:
         import public_tokenizers
@@ -210,7 +212,9 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
         if ids:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumns({"key": F.xxhash64("text"), "read_at": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange("doc_id", "key", "read_at").sortWithinPartitions("doc_id", "key", "text").select("doc_id", "text")
     return written(map_arrow(ordered, run, "part int, seq long, start_in_part long, n_tokens long, shard binary"), "shards")
 
 

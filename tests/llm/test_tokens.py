@@ -12,7 +12,7 @@ from chunkloom.llm.op7_wavelet import Shard, build_shard
 from chunkloom.llm.op10_packing import first_fit_decreasing
 from chunkloom.llm.tokenize import BulkTokenizer
 
-PARTS = ["a", "B", "é", "é", " ", "  ", "\n", "\t", "\r\n", "1", "23", "'s", "'", "!", "?!", "<|endoftext|>", "　", "\xa0", "\x1c", "\x85", "日本", "σΣ", "ΑΣ ", "İ", "́", "😀", "_", "-", "'ll", "​", "ß", "x" * 70, "÷", "×", "Éa", ",", "“", " É", "|", "foo"]
+PARTS = ["a", "B", "é", "é", " ", "  ", "\n", "\t", "\r\n", "1", "23", "'s", "'", "!", "?!", "<|endoftext|>", "　", "\xa0", "\x1c", "\x85", "日本", "σΣ", "ΑΣ ", "İ", "́", "😀", "_", "-", "'ll", "​", "ß", "x" * 70, "÷", "×", "Éa", ",", "“", " É", "|", "foo", "\0", "\0\0"]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -27,6 +27,29 @@ def test_ids_equal_the_library(name):
         assert [tokens[p:q].tolist() for p, q in zip(at, at[1:])] == expected[a : a + 700]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_nul_at_every_place_of_a_chunk(name):
+    encoder = BulkTokenizer(public_tokenizers.path(name))
+    words = ["abc", "a", "", "é", " abc", "x" * 70]
+    texts = [w[:i] + "\0" * n + w[i:] for w in words for i in range(min(len(w), 6) + 1) for n in (0, 1, 2, 3)] + ["abc\0 abc", "abc abc\0\0", "\0 \0\0"]
+    tokens, at = encoder.encode(pa.array(texts))
+    for text, p, q in zip(texts, at, at[1:]):
+        assert tokens[p:q].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+        alone, _ = encoder.encode(pa.array([text]))
+        assert alone.tolist() == tokens[p:q].tolist()
+
+
+def test_equal_hashes_of_unequal_chunks_change_nothing(monkeypatch):
+    """With hashes that say nothing but the length, every chunk still gets its own ids."""
+    from chunkloom.llm import tokenize
+
+    monkeypatch.setattr(tokenize, "_HASHES", [(np.zeros(64, np.uint64), np.uint64(1))] * 2)
+    encoder = BulkTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["cat dog cow", "dog cat", "owl cow cat\0"]
+    tokens, at = encoder.encode(pa.array(texts))
+    assert [tokens[p:q].tolist() for p, q in zip(at, at[1:])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 100, 5000, 70_000])
 def test_shard(n):
     rng = np.random.default_rng(n)
@@ -61,6 +84,29 @@ def test_shard_query(spark, sf):
     assert {r.doc_id: (r.start, r.ids_crc32) for r in small.collect()} == {i: (r.start, r.ids_crc32) for i, r in got.items()}
 
 
+def test_rows_without_an_id_are_spread_over_tasks(spark):
+    """Starts are gapless, texts whole, and no task has all rows of one id, however alike the rows are."""
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "same").otherwise(F.concat(F.lit("t "), F.col("id"))).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or so small a table is one task
+    try:
+        shards = op7_wavelet.write_shards(docs, shard_tokens=2000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = {r.part: r.n for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert len(parts) >= 3 and max(parts.values()) < 0.6 * sum(parts.values())
+    rows = sorted((r.start, r.n_tokens) for r in op7_wavelet.read_documents(shards).collect())
+    assert len(rows) == 20_000 and all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:]))
+
+
+def test_packing_partitions_do_not_grow_with_the_table(spark):
+    """As many tasks as shuffle partitions at most, rows dealt evenly, whatever they have in common."""
+    docs = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    packed = op10_packing.pack(docs, group_docs=10)
+    rows = packed.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(rows) == 4 and max(r["count"] for r in rows) < 2400 and packed.rdd.getNumPartitions() <= 4
+    assert op10_packing.pack(docs, group_docs=10_000).rdd.getNumPartitions() == 1
+
+
 def test_first_fit_decreasing_equals_a_scan():
     rng = random.Random(3)
     for _ in range(300):
