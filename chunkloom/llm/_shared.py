@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,7 +18,6 @@ from pyspark.sql.types import StructType
 #: Rows of labelled data with this remainder of crc32(doc_id) mod 4 are held out of training.
 HELD_OUT_REMAINDER = 2
 SLICE_BYTES = 4 << 20
-ROWS_SETTING, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -25,10 +26,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """The folder all executors see: spark.checkpoint.dir.
+
+    Where none is set, a local master gets a temporary folder, removed at exit; on a cluster that is an
+    error, as each machine would write to its own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="chunkloom-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        made = tempfile.mkdtemp(prefix="chunkloom-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        named = f"file://{made}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -60,10 +69,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """df.mapInArrow in batches that suit long texts; a task hands its memory back, as Python workers outlive tasks.
+    """df.mapInArrow; a task hands its memory back, as Python workers outlive tasks.
 
-    Lowers the session's limit of rows a batch to ARROW_ROWS where it is higher: ten thousand whole
-    texts in one batch are held several times over, in the executor and beside it.
+    Spark bounds a batch by its bytes as well as its rows, so no setting of the caller's session is
+    changed; slices() cuts what arrives further.
     """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,9 +81,6 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
         finally:
             release_memory()
 
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(ROWS_SETTING)) <= ARROW_ROWS:
-        conf.set(ROWS_SETTING, str(ARROW_ROWS))
     return df.mapInArrow(wrapped, schema)
 
 
