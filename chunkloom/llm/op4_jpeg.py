@@ -26,6 +26,8 @@ from chunkloom.llm._shared import documents, map_arrow, slices
 
 ROW = 64
 MAX_ROWS = 8191
+#: Payload or media bytes that are encoded, or decoded, side by side.
+GROUP_BYTES = 1 << 20
 #: Code lengths of the DC size categories of stored payloads; the AC table has only end of block, one bit.
 DC_LENGTHS = {4: 2, 7: 2, 3: 3, 5: 3, 1: 4, 2: 4, 0: 5, 6: 5, 8: 6}
 
@@ -69,9 +71,25 @@ def _head(rows: int) -> bytes:
 
 
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:
-    """Each payload, of a positive multiple of 64 bytes, as one or more baseline JPEG images."""
-    if not payloads:
-        return []
+    """Each payload, of a positive multiple of 64 bytes, as one or more baseline JPEG images.
+
+    Images are made a few at a time, so memory follows GROUP_BYTES and not the longest payload.
+    """
+    most = ROW * MAX_ROWS
+    parts = [(i, p[a : a + most]) for i, p in enumerate(payloads) for a in range(0, len(p), most)]
+    made: list[list[bytes]] = [[] for _ in payloads]
+    start = held = 0
+    for k, (_, part) in enumerate(parts):
+        held += len(part)
+        if held >= GROUP_BYTES or k + 1 == len(parts):
+            for (i, _), image in zip(parts[start : k + 1], _encode_images([x for _, x in parts[start : k + 1]])):
+                made[i].append(image)
+            start, held = k + 1, 0
+    return [own[0] if len(own) == 1 else b"".join(own) for own in made]
+
+
+def _encode_images(payloads: list[bytes]) -> list[bytes]:
+    """Each payload, of at most MAX_ROWS rows, as one image."""
     rows = np.array([len(p) // ROW for p in payloads])
     level = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, ROW).T.astype(np.int16) - 128
     diff = np.diff(level, axis=0, prepend=np.int16(0))
@@ -93,11 +111,9 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     out[base + n_bytes - 1] |= ((1 << (-ends[-1] & 7)) - 1).astype(np.uint8)
     # An image's rows count from 0; a marker follows every row but its last.
     first = np.cumsum(rows) - rows
-    local = np.arange(len(base)) - np.repeat(first, rows)
-    in_image = local % MAX_ROWS
+    in_image = np.arange(len(base)) - np.repeat(first, rows)
     last = np.zeros(len(base), bool)
     last[first + rows - 1] = True
-    last |= in_image == MAX_ROWS - 1
     stuffed = out == 255
     marker = np.where(last, 0, 2)
     shift = np.repeat(np.cumsum(marker) - marker, n_bytes)
@@ -115,9 +131,7 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     for stop in stops:
         images.append(b"".join([_head(int(in_image[stop]) + 1), raw[start : int(row_end[stop])], b"\xff\xd9"]))
         start = int(row_end[stop])
-    parts = -(-rows // MAX_ROWS)
-    at_image = np.cumsum(parts) - parts
-    return [images[a] if n == 1 else b"".join(images[a : a + n]) for a, n in zip(at_image.tolist(), parts.tolist())]
+    return images
 
 
 class Image:
@@ -346,6 +360,30 @@ def thumbnails(media: list[bytes]) -> list[list[tuple[Image, np.ndarray]]]:
     return out
 
 
+def thumbnail_groups(media: list[bytes], most_bytes: int = 2 * GROUP_BYTES) -> Iterator[list[tuple[int, Image, np.ndarray]]]:
+    """All images of all values in order, each with its value's index and its thumbnail, in groups of about most_bytes.
+
+    Values together below that are decoded at once; else images are cut out first, so that memory does not
+    follow the longest value.
+    """
+    if sum(map(len, media)) <= 2 * most_bytes:
+        yield [(i, image, thumb) for i, own in enumerate(thumbnails(media)) for image, thumb in own]
+        return
+    held: list[tuple[int, bytes]] = []
+    size = 0
+    for i, raw in enumerate(media):
+        begin = 0
+        while begin < len(raw):
+            end = Image(raw, begin).end
+            held.append((i, raw[begin:end]))
+            size, begin = size + end - begin, end
+            if size >= most_bytes:
+                yield [(k, *own[0]) for (k, _), own in zip(held, thumbnails([x for _, x in held]))]
+                held, size = [], 0
+    if held:
+        yield [(k, *own[0]) for (k, _), own in zip(held, thumbnails([x for _, x in held]))]
+
+
 def difference_hash(thumb: np.ndarray) -> int:
     """64 bits: over an 8 x 9 grid of cell means, whether each cell is brighter than the one to its left."""
     h, w = thumb.shape
@@ -361,7 +399,10 @@ def pad(raw: bytes) -> bytes:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: each text's padded UTF-8 as JPEG. Null text counts as empty; other columns are ignored."""
+    """doc_id, n_bytes and media: each text's padded UTF-8 as JPEG, one row a row of docs, repeated ids included.
+
+    Null text counts as empty; other columns are ignored; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,17 +417,25 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Reads stored images back. feature: width x height:thumbnail hash of each image, comma-joined."""
+    """Reads stored images back. feature: width x height:thumbnail hash of each image, comma-joined.
+
+    One row a row of media, repeated ids and equal media included; equal media give equal values.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "media", 2 << 20):
                 stored = piece.column(2).to_pylist()
-                rows = []
-                for raw, images in zip(stored, thumbnails(stored)):
-                    payload = b"".join(t.tobytes() for _, t in images)
-                    feature = ",".join(f"{m.width}x{m.height}:{difference_hash(t):016x}" for m, t in images)
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
+                digests, sizes, tails = [hashlib.sha256() for _ in stored], [0] * len(stored), [b""] * len(stored)
+                found: list[list[str]] = [[] for _ in stored]
+                for group in thumbnail_groups(stored):
+                    for i, image, thumb in group:
+                        payload = thumb.tobytes()
+                        digests[i].update(payload)
+                        sizes[i] += len(payload)
+                        tails[i] = (tails[i] + payload[-ROW:])[-ROW:]
+                        found[i].append(f"{image.width}x{image.height}:{difference_hash(thumb):016x}")
+                rows = [(n, d.hexdigest(), zlib.crc32(t), len(raw), hashlib.sha256(raw).hexdigest(), ",".join(f)) for n, d, t, raw, f in zip(sizes, digests, tails, stored, found)]
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[x.split()[0] for x in FEATURES.split(", ")])
 
