@@ -10,7 +10,9 @@ the vectors at block borders document by document, then the marginals within all
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +32,19 @@ BITS, SIZES, AFFIXES = 18, (2, 3), (1, 2, 3)
 LEXICON_SHARE, LEXICON_COUNT = 0.9, 3
 BLOCK = 32
 UNKNOWN = "und"
+#: Only so many languages are learned, those with most training rows: a model has 2 ** BITS weights for each.
+MOST_LANGUAGES = 32
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters (of a Unicode category L) in lower case."""
+    found = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    # The pattern also takes numerals such as fractions and Roman ones, which are no letters.
+    return [part for w in found for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def transfer_marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> np.ndarray:
@@ -124,7 +133,9 @@ def fit(texts: list[str], languages: list[str]) -> bytes:
     Documents name one language each, so switches are made: runs of words of random documents are
     joined, which is what the transitions learn from.
     """
-    names = sorted(set(languages))
+    often = Counter(languages)
+    names = sorted(sorted(often, key=lambda x: (-often[x], x))[:MOST_LANGUAGES])
+    texts, languages = [t for t, x in zip(texts, languages) if x in names], [x for x in languages if x in names]
     label = [names.index(x) for x in languages]
     split = [words(t) for t in texts]
     usable = [i for i, w in enumerate(split) if w]
@@ -173,7 +184,7 @@ def fit(texts: list[str], languages: list[str]) -> bytes:
             move = (expected - seen) / len(gold) * 100
             trans_squares += move * move
             trans -= RATE * move / np.sqrt(trans_squares)
-    head = "\n".join([str(n), *names, *(f"{w} {k}" for w, k in lex.items())]).encode()
+    head = json.dumps({"names": names, "lexicon": lex}).encode()
     return len(head).to_bytes(8, "little") + head + trans.astype("<f8").tobytes() + weights.astype("<f4").tobytes()
 
 
@@ -205,10 +216,9 @@ def emission_features(distinct: list[str], lex: dict[str, int]) -> tuple[np.ndar
 class Tagger:
     def __init__(self, model: bytes) -> None:
         size = int.from_bytes(model[:8], "little")
-        n, *rest = model[8 : 8 + size].decode().split("\n")
-        named = max(1, int(n))
-        self.names = rest[: int(n)] if len(rest) >= int(n) and rest != [""] else []
-        self.lex = {w: int(k) for w, k in (line.rsplit(" ", 1) for line in rest[named:])}
+        head = json.loads(model[8 : 8 + size])
+        self.names, self.lex = head["names"], head["lexicon"]
+        named = max(1, len(self.names))
         trans = np.frombuffer(model, "<f8", named * named, 8 + size).reshape(named, named)
         weights = np.frombuffer(model, "<f4", offset=8 + size + 8 * named * named).reshape(-1, named)
         self.transition = np.exp(trans - trans.max()).astype(np.float32)
@@ -260,13 +270,15 @@ class Tagger:
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> bytes:
     known = docs.select("doc_id", "lang").where("lang IS NOT NULL")
-    return fit_in_one_task(training_rows(docs.select("doc_id", "text"), known, "lang", rows, "string"), fit)
+    return fit_in_one_task(training_rows(docs.select("doc_id", "text"), known, "lang", rows, "string", None), fit)
 
 
 def languages(docs: DataFrame, model: bytes) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row, repeated ids included.
 
-    Null texts and texts without a letter are `und` with score 0; so is all if nothing was learned.
+    Null texts and texts without a letter are `und` with score 0; so is all if nothing was learned. Of
+    languages with equal sums the first by name is predicted. Languages beyond the MOST_LANGUAGES most
+    frequent of the training rows are not learned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -282,7 +294,11 @@ def languages(docs: DataFrame, model: bytes) -> DataFrame:
 
 
 def keep_languages(docs: DataFrame, model: bytes, least_score: float, accepted: frozenset[str] | None = None, least_evidence: float = 0) -> DataFrame:
-    """The rows of docs, all columns, whose language is known with at least this score and evidence (and is accepted, if a set is given)."""
+    """The rows of docs, all columns, whose language is known with at least this score and evidence (and is accepted, if a set is given).
+
+    Each row is judged by its own text, so rows that repeat an id stay or go one by one, and rows without
+    an id are treated like any other. Null texts and texts without a letter go.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

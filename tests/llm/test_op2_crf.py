@@ -63,3 +63,22 @@ def test_word_labels(spark):
     docs = spark.createDataFrame([(1, "the cat", "en"), (2, "der hund", "de"), (3, None, None)], "doc_id long, text string, lang string")
     rows = {r.doc_id: r.labels for r in op2_crf.label_words(docs, fit(["the cat"] * 9 + ["der hund"] * 9, ["en"] * 9 + ["de"] * 9)).collect()}
     assert [(x.word, x.lang) for x in rows[1]] == [("the", "en"), ("cat", "en")] and rows[3] == []
+
+
+def test_words_are_letters_only():
+    assert op2_crf.words("½ ² Ⅷ 12 _") == [] and op2_crf.words("a½b ⅧC É") == ["a", "b", "c", "é"]
+    tagger = Tagger(fit(["the cat"] * 9 + ["der hund"] * 9, ["en"] * 9 + ["de"] * 9))
+    assert tagger.predict(["½ ²", "Ⅷ", None, "12 !"])[0] == ["und"] * 4
+
+
+def test_odd_language_names_and_ties():
+    odd = ["e\nn 1", "", "d e"]
+    tagger = Tagger(fit(["the cat"] * 9 + ["der hund"] * 9 + ["le chat"] * 9, [x for x in odd for _ in range(9)]))
+    assert tagger.names == sorted(odd) and tagger.predict(["the cat", "le chat"])[0] == ["e\nn 1", "d e"]
+    alike = Tagger(fit(["same words"] * 4, ["b", "a", "b", "a"]))
+    assert alike.predict(["zzz"])[0] == ["a"]
+
+
+def test_languages_are_bounded(monkeypatch):
+    monkeypatch.setattr(op2_crf, "MOST_LANGUAGES", 2)
+    assert Tagger(fit(["a b", "c d", "e f", "g h", "i j"], ["x", "y", "y", "z", "z"])).names == ["y", "z"]
