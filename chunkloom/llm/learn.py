@@ -12,27 +12,43 @@ from pyspark.sql import functions as F
 from chunkloom.llm._shared import held_out, map_arrow, slices
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, kind: str = "int") -> DataFrame:
-    """(text, label) of about rows labelled documents that are not held out.
+#: The fit task takes no more UTF-8 bytes of text than this, in the order of a hash of ids; a text that does not fit is left out.
+TRAIN_BYTES = 96 << 20
 
-    Rows without a label, an id or a text are left out. The labels kept are a bounded number, so
-    they are broadcast against the documents.
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, kind: str = "int", allowed: tuple | None = (0, 1)) -> DataFrame:
+    """(doc_id, text, label) of about rows labelled documents that are not held out.
+
+    Rows without a label, an id or a text are left out, and so are labels that are not allowed. An id
+    counts once for each of its labels, with one of its texts (that of the least hash), however many rows
+    repeat it. The labels kept are a bounded number, so they are broadcast against the documents.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast(kind).alias("label")).distinct()
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast(kind).alias("label"))
+    if allowed is not None:
+        known = known.where(F.col("label").isin(*allowed))
+    known = known.distinct()
     share = min(1.0, rows / max(1, known.count()))
     kept = known.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(kept), "doc_id").select("doc_id", "text", "label")
+    met = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(kept), "doc_id")
+    return met.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")
 
 
-def fit_in_one_task(rows: DataFrame, fit: Callable[[list, list], bytes]) -> bytes:
-    """fit(texts, labels) -> bytes, run by one executor task on a bounded number of rows; the driver only gets the model."""
+def fit_in_one_task(rows: DataFrame, fit: Callable[[list, list], bytes], most_bytes: int = TRAIN_BYTES) -> bytes:
+    """fit(texts, labels) -> bytes, run by one executor task on bounded rows and bytes; the driver only gets the model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(i, t, y) for b in batches for i, t, y in zip(*(c.to_pylist() for c in b.columns))]
+        got, left = [], most_bytes
+        for batch in batches:
+            for i, text, label in zip(*(c.to_pylist() for c in batch.columns)):
+                size = len(text.encode())
+                if size <= left:
+                    left -= size
+                    got.append((i, text, label))
         got.sort()
         yield pa.RecordBatch.from_arrays([pa.array([fit([t for _, t, _ in got], [y for _, _, y in got])], pa.binary())], names=["model"])
 
-    found = map_arrow(rows.repartition(1), run, "model binary").collect()
+    ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit("order")), "doc_id", "label")
+    found = map_arrow(ordered, run, "model binary").collect()
     return bytes(found[0][0]) if found else fit([], [])
 
 

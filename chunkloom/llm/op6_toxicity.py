@@ -8,6 +8,7 @@ list and penalises the squared change of the score, so that naming a group neutr
 from __future__ import annotations
 
 import re
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -51,8 +52,8 @@ def _features(distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return feature_buckets(distinct, SIZES, BITS, prefixes=PREFIXES)
 
 
-def identity_swaps() -> dict[str, list[str]]:
-    lists = [line.split() for line in IDENTITY_TERMS]
+def identity_swaps(terms: tuple[str, ...] = IDENTITY_TERMS) -> dict[str, list[str]]:
+    lists = [line.split() for line in terms]
     return {term: sorted({t for other in lists if term in other for t in other if t != term}) for terms in lists for term in terms}
 
 
@@ -71,8 +72,8 @@ def choose(found: list[np.ndarray], labels: np.ndarray, most: int) -> np.ndarray
     return np.sort(features[best[gain[best] > 3]])
 
 
-def fit(texts: list[str], labels: list[int]) -> bytes:
-    """Kept features (int64), their weights (float64) and the bias."""
+def fit(texts: list[str], labels: list[int], terms: tuple[str, ...] = IDENTITY_TERMS, fairness: float = FAIRNESS) -> bytes:
+    """Kept features (int64), their weights (float64) and the bias. Labels are 0 or 1; fairness weighs the penalty."""
     y = np.array(labels, float)
     distinct = [sorted(set(words(t))) for t in texts]
     found = [np.unique(_features(d)[0]) for d in distinct]
@@ -82,7 +83,7 @@ def fit(texts: list[str], labels: list[int]) -> bytes:
         return np.flatnonzero(np.isin(kept, features, assume_unique=True))
 
     x = [columns(f) for f in found]
-    swaps = identity_swaps()
+    swaps = identity_swaps(terms)
     rng = np.random.default_rng(11)
     pairs: list[tuple[np.ndarray, np.ndarray]] = [(columns(np.unique(_features([a])[0])), columns(np.unique(_features([b])[0]))) for a, others in swaps.items() for b in others]
     for d, own in zip(distinct, x):
@@ -104,7 +105,7 @@ def fit(texts: list[str], labels: list[int]) -> bytes:
         for a, b in pairs:
             gap = weights[a].sum() - weights[b].sum()
             step = np.concatenate([np.full(len(a), gap), np.full(len(b), -gap)]) / max(1, len(a) + len(b))
-            np.subtract.at(weights, np.concatenate([a, b]), FAIRNESS * step)
+            np.subtract.at(weights, np.concatenate([a, b]), fairness * step)
     return kept.astype("<i8").tobytes() + np.append(weights, bias).astype("<f8").tobytes()
 
 
@@ -143,12 +144,14 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD, terms: tuple[str, ...] = IDENTITY_TERMS, fairness: float = FAIRNESS) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs, repeated ids included.
 
-    Null and empty texts get the score of a text without features; without a usable label it is 0.5.
+    terms: lines of identity terms in lower case; a term is swapped for another of its line. Labels other
+    than 0 and 1 are left out of training. Null and empty texts get the score of a text without features;
+    without a usable label it is 0.5. Equal texts get equal scores.
     """
-    model = fit_in_one_task(training_rows(docs, labels, "toxic", train_rows), fit)
+    model = fit_in_one_task(training_rows(docs, labels, "toxic", train_rows), partial(fit, terms=terms, fairness=fairness))
     return score_texts(docs, model, Scorer).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

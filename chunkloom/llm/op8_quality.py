@@ -55,8 +55,8 @@ def document_features(texts: list[str], bits: int = BITS) -> list[tuple[np.ndarr
     return out
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE) -> bytes:
-    """Learned vectors and the softmax folded into one weight a bucket, then the bias, as float32 bytes."""
+def learned(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vector of each bucket, the softmax's weights, and its biases. Labels are 0 or 1."""
     rng = np.random.default_rng(7)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
@@ -78,8 +78,13 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float =
             bias -= pace * 0.1 * p
             # A document's mean moves by the sum of many small weights; scale the step so that it does move.
             vectors[bucket] -= pace * (weight / max(float(weight @ weight), 1e-6) * 0.5)[:, None] * back if len(bucket) else 0
-    folded = vectors @ (out[:, 1] - out[:, 0])
-    return np.append(folded, bias[1] - bias[0]).astype("<f4").tobytes()
+    return vectors, out, bias
+
+
+def fit(texts: list[str], labels: list[int]) -> bytes:
+    """Vectors and softmax folded into one weight a bucket, then the bias, as float32 bytes."""
+    vectors, out, bias = learned(texts, labels)
+    return np.append(vectors @ (out[:, 1] - out[:, 0]), bias[1] - bias[0]).astype("<f4").tobytes()
 
 
 class Scorer:
@@ -104,7 +109,8 @@ class Scorer:
 def quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs, repeated ids included.
 
-    Without a usable label the score is 0.5 throughout.
+    Labels other than 0 and 1 are left out of training. Without a usable label the score is 0.5
+    throughout. Null and empty texts get the score of a text without words; equal texts get equal scores.
     """
     model = fit_in_one_task(training_rows(docs, labels, "quality", train_rows), fit)
     return score_texts(docs, model, Scorer).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
