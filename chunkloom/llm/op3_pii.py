@@ -21,8 +21,9 @@ ROUNDS = 3
 #: Added to a pattern's weight, so that a pattern seen a few times is not confident.
 SMOOTHING = 2.0
 CONFIDENCE, SEEDS = 0.6, 5
-CONTEXT_CHARS = 80
 MIN_CANDIDATE = 6
+#: Trusted patterns are broadcast up to so many characters of them together; beyond, their join is shuffled.
+BROADCAST_CHARS = 16 << 20
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: The contract's patterns. Look-behind and possessive repeats keep long runs linear and match the same:
@@ -40,13 +41,21 @@ NEEDS = {"email": r"@[A-Za-z0-9-]+\.", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -
 _BLOCK = 256
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for body with name standing for value, computed once: a lambda's variable is never inlined."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def _prefix_sums(values: str) -> str:
     """SQL for the inclusive prefix sums of an array of ints, in blocks so that long arrays stay near linear."""
-    sums = f"transform(sequence(0, (size({values}) - 1) div {_BLOCK}), b -> aggregate(slice({values}, cast(b * {_BLOCK} + 1 AS int), {_BLOCK}), 0, (x, y) -> x + y))"
-    before = f"transform({sums}, (s, b) -> aggregate(slice({sums}, 1, b), 0, (x, y) -> x + y))"
+    add = "(x, y) -> x + y"
+    block = f"slice({values}, cast(b * {_BLOCK} + 1 AS int), {_BLOCK})"
+    sums = f"transform(sequence(0, (size({values}) - 1) div {_BLOCK}), b -> aggregate({block}, 0, {add}))"
+    before = _let(sums, "sums", f"transform(sums, (s, b) -> aggregate(slice(sums, 1, b), 0, {add}))")
+    within = _let(block, "own", f"transform(own, (v, i) -> o + aggregate(slice(own, 1, i + 1), 0, {add}))")
     return (
-        f"CASE WHEN size({values}) = 0 THEN cast(array() AS array<int>) WHEN size({values}) <= {_BLOCK} THEN transform({values}, (v, i) -> aggregate(slice({values}, 1, i + 1), 0, (x, y) -> x + y)) "
-        f"ELSE flatten(transform({before}, (o, b) -> transform(slice({values}, cast(b * {_BLOCK} + 1 AS int), {_BLOCK}), (v, i) -> o + aggregate(slice({values}, cast(b * {_BLOCK} + 1 AS int), i + 1), 0, (x, y) -> x + y)))) END"
+        f"CASE WHEN size({values}) = 0 THEN cast(array() AS array<int>) WHEN size({values}) <= {_BLOCK} THEN transform({values}, (v, i) -> aggregate(slice({values}, 1, i + 1), 0, {add})) "
+        f"ELSE flatten(transform({before}, (o, b) -> {within})) END"
     )
 
 
@@ -73,11 +82,25 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+#: Words of a context: runs of letters, equals signs and colons.
+_CONTEXT = r"\p{L}=:"
+
+
 def _patterns(before: Column, after: Column) -> Column:
-    """Lexical patterns from the text before and after an instance; a missing word is written as ^ or $."""
-    left = F.regexp_extract_all(F.lower(F.right(before, F.lit(CONTEXT_CHARS))), F.lit(r"[\p{L}=:]+"), F.lit(0))
-    right = F.regexp_extract_all(F.lower(F.left(after, F.lit(CONTEXT_CHARS))), F.lit(r"[\p{L}=:]+"), F.lit(0))
-    one, two, following = F.coalesce(F.try_element_at(left, F.lit(-1)), F.lit("^")), F.coalesce(F.try_element_at(left, F.lit(-2)), F.lit("^")), F.coalesce(F.try_element_at(right, F.lit(1)), F.lit("$"))
+    """Lexical patterns from the text before and after an instance, as far as its neighbours of the same kind.
+
+    Words are whole, however long and however far off; a missing word is written as ^ or $. The text
+    before is read backwards, so that no more of it is looked at than the two words take.
+    """
+    backwards = F.reverse(before)
+
+    def word(text: Column, nth: int) -> Column:
+        return F.regexp_extract(text, rf"^[^{_CONTEXT}]*+([{_CONTEXT}]++)" + (rf"[^{_CONTEXT}]++([{_CONTEXT}]++)" if nth > 1 else ""), nth)
+
+    def named(found: Column, none: str) -> Column:
+        return F.when(F.length(found) > 0, F.lower(found)).otherwise(F.lit(none))
+
+    one, two, following = named(F.reverse(word(backwards, 1)), "^"), named(F.reverse(word(backwards, 2)), "^"), named(word(after, 1), "$")
     return F.array(F.concat(two, F.lit(" "), one, F.lit(" _")), F.concat(one, F.lit(" _")), F.concat(one, F.lit(" _ "), following))
 
 
@@ -145,7 +168,9 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS, confidence: float
         patterns = written(patterns, "patterns")
         if k + 1 < rounds:
             trust = edges.join(patterns, "pattern").groupBy("instance").agg(F.when(F.max(F.col("seed").cast("int")) == 1, 1.0).otherwise(F.sum(F.col("w") * F.col("confidence")) / F.sum("w")).alias("trust"))
-    return patterns.where((F.col("confidence") >= confidence) & (F.col("seeds") >= seeds)).select("pattern")
+    trusted = patterns.where((F.col("confidence") >= confidence) & (F.col("seeds") >= seeds)).select("pattern")
+    # A pattern may hold a third of all candidates: broadcast, its join deals none of them.
+    return F.broadcast(trusted) if (trusted.agg(F.sum(F.length("pattern") + 40)).first()[0] or 0) <= BROADCAST_CHARS else trusted
 
 
 def personal_data(docs: DataFrame, **settings) -> DataFrame:
@@ -167,17 +192,21 @@ def _written_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-#: Documents with spans are broadcast up to so many rows; beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 50_000
+#: Documents with spans are broadcast up to so many documents and spans together; beyond, they are joined by a shuffle.
+BROADCAST_ENTRIES = 150_000
 
 
-def redact(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **settings) -> DataFrame:
+def redact(docs: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES, **settings) -> DataFrame:
     """docs with each found span of text replaced by its kind in brackets; overlapping spans are replaced as one,
-    named after the first. Other columns stay; n_chars, where there is one, is counted anew."""
+    named after the first. Other columns stay; n_chars, where there is one, is counted anew.
+
+    Every row stays: null texts stay null, rows that repeat an id are redacted each by its own text.
+    """
     doc, key, at, runs = free_names(docs, "found_doc", "found_key", "found_spans", "found_runs")
     found = personal_data(docs, **settings).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_key"])
     found = written(found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("spans").alias(at)), "redactions")
-    found = F.broadcast(found) if found.count() <= broadcast_rows else found
+    rows, spans = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(at)), F.lit(0))).first()
+    found = F.broadcast(found) if rows + spans <= broadcast_entries else found
     merged = F.expr(f"""aggregate({at}, cast(array() AS array<struct<s: int, e: int, kind: string>>), (a, x) ->
         CASE WHEN size(a) > 0 AND element_at(a, -1).e > x.s
         THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e), 'kind', element_at(a, -1).kind)))
