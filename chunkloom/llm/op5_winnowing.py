@@ -18,7 +18,9 @@ WINDOW_WORDS = 13
 GRAM_WORDS = 5
 #: A document is contaminated if at least one word in so many is hit.
 HIT_SHARE = 20
-#: Item fingerprints are broadcast up to so many rows (some 300 bytes each); beyond, the join is shuffled.
+#: Item fingerprints are broadcast while their rows and ids, at so many bytes each, stay below a limit; beyond, the join is shuffled.
+ROW_BYTES, ID_BYTES, BROADCAST_BYTES = 320, 24, 64 << 20
+#: Contaminated documents, two longs each, are broadcast up to so many rows.
 BROADCAST_ROWS = 200_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,16 +35,38 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(low, NOT_WORD), ""), F.array().cast("array<string>"))
 
 
-def _fingerprints(hashed: DataFrame, t: int, k: int) -> DataFrame:
-    """From a column h of word hashes: key, pos and the hashes of the t - k words around each k-gram chosen."""
+def _grams(t: int, k: int) -> str:
+    """SQL for the fingerprints of the word hashes h for windows of t words: hashes of k words in the upper bits, positions in the lower.
+
+    A gram's hash depends on t too, so windows of different lengths never meet.
+    """
     low = (1 << POSITION_BITS) - 1
     gram = ", ".join(f"get(h, i + {j})" for j in range(k))
-    grams = hashed.withColumn("g", F.expr(f"CASE WHEN size(h) >= {t} THEN transform(sequence(0, size(h) - {k}), i -> (xxhash64({gram}) & {~low}L) | cast(i AS bigint)) ELSE cast(array() AS array<bigint>) END"))
-    least = F.expr(f"CASE WHEN size(g) > 0 THEN array_distinct(transform(sequence(1, size(g) - {t - k}), i -> array_min(slice(g, i, {t - k + 1})))) ELSE g END")
-    pad = F.array_repeat(F.lit(None).cast("long"), t - k)
-    chosen = grams.withColumn("f", least).withColumn("h", F.concat(pad, "h", pad)).drop("g")
-    around = F.expr(f"transform(f, x -> struct(x & {~low}L AS key, cast(x & {low}L AS int) AS pos, slice(h, cast((x & {low}L) + 1 AS int), {2 * (t - k) + k}) AS near))")
-    return chosen.withColumn("x", F.explode(around)).drop("h", "f").select("*", "x.key", "x.pos", "x.near").drop("x")
+    grams = f"transform(sequence(0, size(h) - {k}), i -> (xxhash64({t}, {gram}) & {~low}L) | cast(i AS bigint))"
+    if t > k:
+        grams = f"get(transform(array({grams}), g -> array_distinct(transform(sequence(1, size(g) - {t - k}), i -> array_min(slice(g, i, {t - k + 1}))))), 0)"
+    return f"CASE WHEN size(h) >= {t} THEN {grams} ELSE cast(array() AS array<bigint>) END"
+
+
+def _fingerprints(hashed: DataFrame, sizes: list[int], own_size: bool = False) -> DataFrame:
+    """From a column h of word hashes: t, key, pos and near, the hashes of the t - k words around each k-gram chosen.
+
+    All window lengths are probed in one pass over the words. own_size takes only the length that suits
+    the row: the largest of sizes, or the row's own number of words if that is less.
+    """
+    low, most = (1 << POSITION_BITS) - 1, max(sizes)
+    pad = F.array_repeat(F.lit(None).cast("long"), most)
+    kind = "array<struct<t: int, key: bigint, pos: int, near: array<bigint>>>"
+    parts = []
+    for t in sizes:
+        k = min(GRAM_WORDS, t)
+        near = f"slice(padded, cast((x & {low}L) + {most - (t - k) + 1} AS int), {2 * t - k})"
+        made = f"transform({_grams(t, k)}, x -> struct({t} AS t, x & {~low}L AS key, cast(x & {low}L AS int) AS pos, {near} AS near))"
+        suits = "true" if not own_size else f"size(h) >= {t}" if t == most else f"size(h) = {t}"
+        parts.append(f"CASE WHEN {suits} THEN {made} ELSE cast(array() AS {kind}) END")
+    # Words beyond both ends are null.
+    around = hashed.withColumn("padded", F.concat(pad, "h", pad)).withColumn("x", F.explode(F.expr(f"concat({', '.join(parts)})")))
+    return around.select(*(c for c in hashed.columns if c != "h"), "x.t", "x.key", "x.pos", "x.near")
 
 
 def _run(flags: str) -> str:
@@ -50,18 +74,21 @@ def _run(flags: str) -> str:
     return f"CASE WHEN array_position({flags}, false) = 0 THEN size({flags}) ELSE cast(array_position({flags}, false) - 1 AS int) END"
 
 
-def _hits(docs: DataFrame, items: DataFrame, t: int, broadcast_rows: int) -> DataFrame:
-    """(doc_id, text_key, item_id, s, e): words s to e - 1 of the document are in windows of t words of the item."""
-    k = min(GRAM_WORDS, t)
-    c = t - k
-    known = written(_fingerprints(items, t, k).select("item_id", "key", F.col("near").alias("item_near")).distinct(), "item_fingerprints")
-    right = F.broadcast(known) if known.count() <= broadcast_rows else known
-    met = _fingerprints(docs, t, k).join(right, "key").withColumn("same", F.expr("zip_with(near, item_near, (a, b) -> coalesce(a = b, false))"))
-    met = met.select("doc_id", "text_key", "item_id", "pos", F.expr(_run(f"reverse(slice(same, 1, {c}))")).alias("l"), F.expr(_run(f"slice(same, {c + 1}, {k})")).alias("m"), F.expr(_run(f"slice(same, {c + k + 1}, {c})")).alias("r"))
-    return met.where(f"m = {k} AND l + m + r >= {t}").selectExpr("doc_id", "text_key", "item_id", "pos - l AS s", f"pos + {k} + r AS e")
+def _hits(docs: DataFrame, items: DataFrame, sizes: list[int], broadcast_bytes: int) -> DataFrame:
+    """(doc_id, text_key, item_ids, s, e): words s to e - 1 of the document are in windows of these items.
+
+    Items that agree around a fingerprint are one row of the join, with all their ids.
+    """
+    known = _fingerprints(items, sizes, own_size=True).groupBy("t", "key", F.col("near").alias("item_near")).agg(F.collect_set("item_id").alias("item_ids"))
+    known = written(known, "item_fingerprints")
+    rows, ids = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("item_ids")), F.lit(0))).first()
+    right = F.broadcast(known) if ROW_BYTES * rows + ID_BYTES * ids <= broadcast_bytes else known
+    met = _fingerprints(docs, sizes).join(right, ["t", "key"]).withColumns({"same": F.expr("zip_with(near, item_near, (a, b) -> coalesce(a = b, false))"), "k": F.least(F.lit(GRAM_WORDS), "t")}).withColumn("c", F.expr("t - k"))
+    met = met.select("doc_id", "text_key", "item_ids", "t", "k", "pos", F.expr(_run("reverse(slice(same, 1, c))")).alias("l"), F.expr(_run("slice(same, c + 1, k)")).alias("m"), F.expr(_run("slice(same, c + k + 1, c)")).alias("r"))
+    return met.where("m = k AND l + m + r >= t").selectExpr("doc_id", "text_key", "item_ids", "pos - l AS s", "pos + k + r AS e")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_WORDS, hit_share: int = HIT_SHARE, broadcast_rows: int = BROADCAST_ROWS, keep_key: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_WORDS, hit_share: int = HIT_SHARE, broadcast_bytes: int = BROADCAST_BYTES, keep_key: bool = False) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, item_ids and contaminated added, less clashing columns of docs.
 
     items: item_id and text. A window is window_words consecutive words of an item, or all words of a
@@ -75,12 +102,11 @@ def contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_
     item_rows = items.select("item_id", hashed.alias("h")).where(F.size("h") > 0)
     doc_rows = docs.select("doc_id", "text_key", hashed.alias("h"))
     # A benchmark is short of distinct lengths below a window: at most window_words - 1 values reach the driver.
-    short = [r[0] for r in item_rows.where(F.size("h") < window_words).select(F.size("h")).distinct().collect()]
-    hits = _hits(doc_rows, item_rows.where(F.size("h") >= window_words), window_words, broadcast_rows)
-    for n in sorted(short):
-        hits = hits.unionByName(_hits(doc_rows, item_rows.where(F.size("h") == n), n, broadcast_rows))
+    short = sorted(r[0] for r in item_rows.where(F.size("h") < window_words).select(F.size("h")).distinct().collect())
+    hits = _hits(doc_rows, item_rows, [*short, window_words], broadcast_bytes)
     union = "aggregate(array_sort(spans), struct(0L AS n, 0 AS e), (a, x) -> struct(a.n + greatest(0, x.e - greatest(x.s, a.e)) AS n, greatest(a.e, x.e) AS e), a -> a.n)"
-    by_doc = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("s", "e")).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    named = F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("item_ids")), lambda x: x.cast("string"))))
+    by_doc = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("s", "e")).alias("spans"), named.alias("item_ids"))
     hit_doc, hit_key = free_names(docs, "hit_doc", "hit_key")
     by_doc = by_doc.select(F.col("doc_id").alias(hit_doc), F.col("text_key").alias(hit_key), F.expr(union).alias("n_hit"), "item_ids")
     joined = docs.withColumn("n_words", F.size(words(F.col("text"))).cast("long")).join(by_doc, F.col("doc_id").eqNullSafe(F.col(hit_doc)) & F.col("text_key").eqNullSafe(F.col(hit_key)), "left").drop(hit_doc, hit_key, *([] if keep_key else ["text_key"]))
@@ -89,10 +115,15 @@ def contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **settings) -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated."""
+    """The rows of docs, all columns, that are not contaminated.
+
+    Null and wordless texts stay; rows that repeat an id stay or go each by its own text, rows without an
+    id too; of equal rows all stay or all go. Without items all stay.
+    """
     found = contamination(docs.select("doc_id", "text"), items, keep_key=True, **settings).where("contaminated")
     doc, key = free_names(docs, "bad_doc", "bad_key")
-    bad = written(found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)), "contaminated")
+    # Copies of a contaminated text count once.
+    bad = written(found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct(), "contaminated")
     few = bad.count() <= broadcast_rows
     return docs.join(F.broadcast(bad) if few else bad, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left_anti")
 
