@@ -10,7 +10,9 @@ argument on their remaining bits, exactly and without a cap.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice, tee
 
 import numpy as np
 import pyarrow as pa
@@ -28,35 +30,59 @@ SEED = 42
 GROUP_ROWS = 100_000
 #: Node pairs held at once.
 FRONTIER = 1 << 20
+#: Shingle hashes whose bits are counted at once; and UTF-8 bytes of a text from which its words are no longer listed.
+BLOCK_HASHES, LONG_BYTES = 1 << 16, 4 << 20
+#: Documents of one fingerprint from which their class is broadcast: such fingerprints number at most the rows through this.
+HOT_ROWS = 20_000
+#: Rows to drop, one long each, are broadcast up to so many.
+BROADCAST_ROWS = 500_000
+
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+
+
+def _shingles(text: str, shingle_words: int) -> Iterator[tuple[bytes, ...]]:
+    raw = text.encode().lower()
+    if len(raw) > LONG_BYTES:  # words one by one: a list of them takes many times the text
+        ways = tee((m[0] for m in _WORD.finditer(raw)), shingle_words)
+        first = tuple(islice((m[0] for m in _WORD.finditer(raw)), shingle_words))
+        return zip(*(islice(way, k, None) for k, way in enumerate(ways))) if len(first) >= shingle_words else iter([first] if first else [])
+    words = raw.split()
+    return zip(*(words[k:] for k in range(shingle_words))) if len(words) >= shingle_words else iter([words] if words else [])
 
 
 def fingerprints(texts: list[str | None], shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
-    """64-bit SimHash of each text, as uint64: the majority of the XXH64 of its word shingles, repeats counted."""
+    """64-bit SimHash of each text, as uint64: the majority of the XXH64 of its word shingles, repeats counted.
+
+    Bits are counted for a block of hashes at a time, so memory follows the block and not the longest text.
+    """
     from xxhash import xxh64_intdigest
 
+    counts, ones = np.zeros(len(texts), np.int64), np.zeros((len(texts), 64), np.int64)
     hashes: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
+    owners: list[int] = []
+    sizes: list[int] = []
+
+    def count() -> None:
+        # Each hash becomes 64 bytes of 0 or 1, summed as 8 words of 8 lanes; a lane holds up to 255.
+        lanes = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+        starts = np.cumsum([0, *sizes[:-1]])
+        pieces = [np.arange(a, a + n, 255) for a, n in zip(starts.tolist(), sizes)]
+        sums = np.add.reduceat(lanes, np.concatenate(pieces), axis=0).view(np.uint8).astype(np.int64)
+        np.add.at(ones, owners, np.add.reduceat(sums, np.cumsum([0, *(len(p) for p in pieces[:-1])]), axis=0))
+        np.add.at(counts, owners, sizes)
+        hashes.clear(), owners.clear(), sizes.clear()
+
     for i, text in enumerate(texts):
-        words = text.encode().lower().split() if text else []
-        if words:
-            grams = zip(*(words[k:] for k in range(shingle_words))) if len(words) >= shingle_words else [words]
-            got = [xxh64_intdigest(b" ".join(g), SEED) for g in grams]
-            counts[i] = len(got)
-            hashes += got
-    out = np.zeros(len(texts), np.uint64)
-    if not hashes:
-        return out
-    # Each hash becomes 64 bytes of 0 or 1, summed as 8 words of 8 lanes; a lane holds up to 255.
-    lanes = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
-    full = np.flatnonzero(counts)
-    starts = np.cumsum(counts) - counts
-    pieces = [np.arange(starts[i], starts[i] + counts[i], 255) for i in full]
-    sums = np.add.reduceat(lanes, np.concatenate(pieces), axis=0).view(np.uint8).astype(np.int64)
-    owners = np.cumsum([0] + [len(p) for p in pieces[:-1]])
-    ones = np.add.reduceat(sums, owners, axis=0)
-    bits = (2 * ones > counts[full, None]).astype(np.uint8)
-    out[full] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+        grams = _shingles(text, shingle_words) if text else iter(())
+        while part := [xxh64_intdigest(b" ".join(g), SEED) for g in islice(grams, BLOCK_HASHES)]:
+            hashes += part
+            owners.append(i)
+            sizes.append(len(part))
+            if len(hashes) >= BLOCK_HASHES:
+                count()
+    if hashes:
+        count()
+    return np.packbits((2 * ones > counts[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprint_table(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
@@ -214,34 +240,38 @@ def links(values: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GROUP_R
         children = {s: [] for s in unions}
 
 
-def _rooted(table: DataFrame, max_bits: int, group_rows: int) -> DataFrame:
-    """table: doc_id and fp. Each fp once with first_doc, its least doc_id, and root, the least fp of its component."""
-    distinct = written(table.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
-    stars = connected(links(distinct.select("fp"), max_bits, group_rows))
-    return distinct.join(stars.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+def _rooted(values: DataFrame, max_bits: int, group_rows: int) -> DataFrame:
+    """values: distinct fp and other columns, which stay. Adds root, the least fp of the component."""
+    stars = connected(links(values.select("fp"), max_bits, group_rows))
+    return values.join(stars.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, group_rows: int = GROUP_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, fp (signed long) and component_id, the least doc_id reachable over links of at most max_bits bits.
 
     Every row of docs gives one row, repeated ids too. Null ids are never a component's id unless it
-    has no other. An empty table gives an empty result; other columns are ignored.
+    has no other. An empty table gives an empty result; other columns are ignored. Fingerprints that very
+    many rows share (copies, empty texts) meet their class by a broadcast, so they fill no task.
     """
     table = written(fingerprint_table(docs, shingle_words), "fingerprints")
-    rooted = _rooted(table, max_bits, group_rows)
+    distinct = written(table.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")), "distinct")
+    rooted = written(_rooted(distinct, max_bits, group_rows), "rooted")
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    classes = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return table.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = rooted.join(least, "root").select("fp", "component_id", "n")
+    hot = F.broadcast(written(classes.where(F.col("n") > hot_rows).select("fp", "component_id"), "hot_classes"))
+    cold = table.join(hot.select("fp"), "fp", "left_anti").join(classes.select("fp", "component_id"), "fp")
+    return cold.unionByName(table.join(hot, "fp")).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """One row of docs for each group of near-duplicates, that with the least doc_id.
+def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, group_rows: int = GROUP_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row of docs for each group of near-duplicates: that with the least doc_id, then the least hash of its text.
 
     Groups are told apart by their texts alone: rows that share an id, or have none, and hold different
-    texts are different documents. A row without an id stays only if its group has no named one.
+    texts are different documents. A row without an id stays only if its group has no named one. Null and
+    wordless texts are one group. An empty table gives an empty result.
     """
-    key, fp = free_names(docs, "_key", "_fp")
-    sources = docs.select("*", F.col("doc_id").cast("long").alias(key), F.col("text").cast("string").alias(fp))
+    key, text_key, at, fp = free_names(docs, "_key", "_text_key", "_at", "_fp")
+    sources = docs.select("*", F.col("doc_id").cast("long").alias(key), F.xxhash64("text").alias(text_key), F.monotonically_increasing_id().alias(at), F.col("text").cast("string").alias(fp))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,19 +279,15 @@ def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle_word
                 found = fingerprints(piece.column(piece.num_columns - 1).to_pylist(), shingle_words).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(found)], names=piece.schema.names)
 
-    # Written with its fingerprint, each row is found again by it, whatever its id.
+    # Written with a number of its own, each row is found again by it, whatever its id and text.
     table = written(map_arrow(sources, run, StructType([*sources.schema.fields[:-1], StructField(fp, LongType())])), "fingerprints")
-    rooted = _rooted(table.select(F.col(key).alias("doc_id"), F.col(fp).alias("fp")), max_bits, GROUP_ROWS)
-    best = F.min(F.struct(F.col("first_doc").isNull().alias("unnamed"), "first_doc", "fp")).alias("best")
-
-    def named(fp: str, doc_id: str) -> Column:
-        # As text, so that null is a value like any other.
-        return F.concat_ws(" ", F.col(fp).cast("string"), F.col(doc_id).cast("string")).alias(key)
-
-    kept = rooted.groupBy("root").agg(best).select(named("best.fp", "best.first_doc"))
-    rows = table.select(*docs.columns, named(fp, key))
-    # The semi-join and the choice among equal rows share one partitioning by the key.
-    return rows.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    rows = table.select(F.col(fp).alias("fp"), F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("doc_id"), F.col(text_key).alias("text_key"), F.col(at).alias("at")).alias("best"))
+    distinct = written(rows.groupBy("fp").agg(F.min("best").alias("best")), "distinct")
+    kept = written(_rooted(distinct, max_bits, group_rows).groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.at").alias(at)), "kept")
+    lost = written(table.select(at).join(kept, at, "left_anti"), "lost")
+    # Texts only move if the rows to drop are too many to be broadcast.
+    left = table.join(F.broadcast(lost), at, "left_anti") if lost.count() <= broadcast_rows else table.join(kept, at, "left_semi")
+    return left.select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,15 @@ def test_fingerprints(spark, sf):
     assert fingerprints(found).tolist() == [simhash(t) for t in found]
 
 
+@pytest.mark.parametrize(("block", "long"), [(7, 1 << 20), (7, 10), (1 << 16, 0)])
+def test_long_texts_are_counted_in_blocks(monkeypatch, block, long):
+    rng = random.Random(block + long)
+    found = [None, "", "\n ", *(" ".join(rng.choice(["a", "Bc", "é", "x\ty"]) for _ in range(rng.randint(0, 40))) for _ in range(60))]
+    monkeypatch.setattr(op9_simhash, "BLOCK_HASHES", block)
+    monkeypatch.setattr(op9_simhash, "LONG_BYTES", long)
+    assert fingerprints(found).tolist() == [simhash(t) for t in found]
+
+
 @pytest.mark.parametrize("frontier", [3, 1 << 20])
 def test_trie_equals_all_pairs(monkeypatch, frontier):
     monkeypatch.setattr(op9_simhash, "FRONTIER", frontier)
@@ -142,3 +151,15 @@ def test_groups_are_told_apart_by_text(spark):
     kept = sorted(((r.doc_id, r.text) for r in op9_simhash.drop_near_duplicates(docs).collect()), key=str)
     expected = [(None, "a lonely row of words"), (None, "quite another text here"), (1, "one two three four"), (2, "a text of its own"), (3, "five six seven eight"), (3, "the unique second text")]
     assert kept == sorted(expected, key=str)
+    shuffled = sorted(((r.doc_id, r.text) for r in op9_simhash.drop_near_duplicates(docs, broadcast_rows=0).collect()), key=str)
+    assert shuffled == kept
+
+
+def test_hot_fingerprints_keep_every_row(spark):
+    """A third of all rows empty, a third copies: the same classes whether these are met by a broadcast or not."""
+    rows = [(i if i % 5 else None, ["", "one two three four", f"row {i} alone in the table {i * 7}"][i % 3]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hot, cold = (sorted(((r.doc_id, r.fp, r.component_id) for r in op9_simhash.near_duplicates(docs, hot_rows=n).collect()), key=str) for n in (50, 10_000))
+    assert hot == cold and len(hot) == 900
+    kept = op9_simhash.drop_near_duplicates(docs).collect()
+    assert len(kept) == len({r.component_id if r.component_id is not None else -r.fp for r in op9_simhash.near_duplicates(docs).collect()})
