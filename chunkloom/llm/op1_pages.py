@@ -1,12 +1,13 @@
 """Main text of web pages, by differencing each page with its nearest neighbours by URL.
 
-A page becomes lines: the white-space-normalised text of its blocks, each with what markup says of it
-(boilerplate, part of the article, or unknown). Within a host pages are ordered by URL path, and a
-page is paired with the pages before and after it. Their lines are aligned by a longest common
-subsequence; shared lines that markup does not place in the article are deleted.
-
-Markup decides first, as differencing alone cannot give the article: menus, adverts and footers here
-differ from page to page, and copied articles share all their lines with a neighbour.
+A page becomes lines: the white-space-normalised text of its blocks, each with the innermost blocks it
+stands in and with what markup says of it (boilerplate, part of the article, or unknown). Within a
+host distinct pages are ordered by URL path, and each is paired with those before and after it. Their
+lines, text and place together, are aligned by a longest common subsequence, and shared lines are
+deleted. A copy of a whole page is no neighbour of it.
+
+Markup decides what differencing leaves open: shared lines within an article element stay, as copied
+passages are shared too, and lines that no neighbour shares go if markup calls them boilerplate.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ CONTAINERS = frozenset(("article", "main"))
 MARKED = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comments-area consent cookie cookies copyright disqus footer header menu menubar modal nav navbar navigation newsletter notice notices pagination popup popups promo promoted promotion related respond share sharing sidebar sidebars signup skip-link social sponsor sponsored subscribe subscription toolbar toc widget widgets contentinfo complementary search reply replies alert alerts".split())
 #: Those of them that also mark a part as one piece of a longer name, as in top-nav.
 MARKED_PIECES = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer menu nav navbar navigation newsletter notice popup promo related share sharing sidebar social sponsored subscribe widget".split())
+#: Elements of running text: within an article their names tell of what they say, not of a part beside it, and an id of theirs is an anchor.
+TEXT_ELEMENTS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre em strong b i u a code cite q span table thead tbody tr td th dl dt dd figure figcaption hgroup".split())
 #: A name that begins so tells of another part.
 ELSEWHERE = ("has-", "no-", "with-", "without-")
 #: An element that closes another one of its own kind left open.
@@ -50,12 +53,20 @@ BOILERPLATE, UNKNOWN, ARTICLE = 0, 1, 2
 LCS_CELLS = 1 << 27
 
 
-def _marked(element: str, attributes: str) -> bool:
+#: How many of the innermost blocks around a line count as its place.
+PLACE_BLOCKS = 3
+
+
+def _marked(element: str, attributes: str, inside: bool) -> bool:
+    """Whether attributes mark an element as beside the article; inside: it stands in an article element."""
     if not attributes.strip() or element in ("html", "body"):
         return False
+    text = element in TEXT_ELEMENTS
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
+            if text and (inside or name == "id"):
+                continue
             for word in _NAMES.findall(value.replace("_", "-")):
                 if word in MARKED:
                     return True
@@ -66,11 +77,13 @@ def _marked(element: str, attributes: str) -> bool:
     return False
 
 
-def parse_lines(page: str | None) -> list[tuple[str, int]]:
-    """(text, state) of each block with text, in page order. References are decoded once; white space is one space."""
-    out: list[tuple[str, int]] = []
+def parse_lines(page: str | None) -> list[tuple[str, int, str]]:
+    """(text, state, place) of each block with text, in page order. References are decoded once; white space is one
+    space; place names the innermost blocks around the line."""
+    out: list[tuple[str, int, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each one starts a part to drop
+    open_names: dict[str, int] = {}
     dropped = inside = 0
     held = UNKNOWN
 
@@ -79,7 +92,8 @@ def parse_lines(page: str | None) -> list[tuple[str, int]]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append((text, held))
+                around = [name for name, _ in stack[-16:] if name in BLOCKS]
+                out.append((text, held, "/".join(around[-PLACE_BLOCKS:])))
             parts = []
 
     def close(at: int) -> None:
@@ -87,6 +101,7 @@ def parse_lines(page: str | None) -> list[tuple[str, int]]:
         for name, gone in stack[at:]:
             dropped -= gone
             inside -= name in CONTAINERS
+            open_names[name] -= 1
         del stack[at:]
 
     page = page or ""
@@ -109,24 +124,25 @@ def parse_lines(page: str | None) -> list[tuple[str, int]]:
         if name in BLOCKS:
             flush()
         if found[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
+            if open_names.get(name):  # a stray end tag costs nothing, however many elements are open
+                i = len(stack) - 1
+                while stack[i][0] != name:
+                    i -= 1
+                close(i)
             continue
         for other in SELF_CLOSING.get(name, ()):
             if stack and stack[-1][0] == other:
                 close(len(stack) - 1)
         attributes = found[3] or ""
-        gone = name in DROPPED or _marked(name, attributes)
+        gone = name in DROPPED or _marked(name, attributes, inside > 0)
         if name in RAW and not attributes.rstrip().endswith("/"):
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            stop = end.start() if end else len(page)
             at = end.end() if end else len(page)
             continue
         if name in VOID:
             continue
         stack.append((name, gone))
+        open_names[name] = open_names.get(name, 0) + 1
         dropped += gone
         inside += name in CONTAINERS
     flush()
@@ -205,10 +221,11 @@ def _prefix_lengths(a: list[int], b: list[int]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(bits == 0)])
 
 
-def line_hash(text: str) -> int:
+def line_key(text: str, place: str) -> int:
+    """What two lines must have in common to be shared: their text, and the blocks they stand in."""
     from xxhash import xxh64_intdigest
 
-    value = xxh64_intdigest(text)
+    value = xxh64_intdigest(f"{place}\n{text}")
     return value - (1 << 64) if value >> 63 else value
 
 
@@ -221,79 +238,99 @@ def path(url: Column) -> Column:
 
 
 def line_table(pages: DataFrame) -> DataFrame:
-    """page_id, url, page_key and the lines as hashes and states; narrow, without their text."""
+    """page_id, url, host, path and a page's lines: texts, keys and states; and version, which equal lists of lines share.
+
+    One row a row of pages. Null html has no lines; null ids and urls stay null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "html"):
-                lines = [parse_lines(page) for page in piece.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array([[line_hash(t) for t, _ in own] for own in lines], pa.list_(pa.int64())), pa.array([bytes(s for _, s in own) for own in lines], pa.binary())], names=["page_id", "url", "page_key", "hashes", "states"])
+                found = [parse_lines(page) for page in piece.column(2).to_pylist()]
+                columns = [pa.array([[t for t, _, _ in own] for own in found], pa.list_(pa.string())), pa.array([[line_key(t, at) for t, _, at in own] for own in found], pa.list_(pa.int64())), pa.array([[s for _, s, _ in own] for own in found], pa.list_(pa.int8()))]
+                yield pa.RecordBatch.from_arrays([*piece.columns[:2], *columns], names=["page_id", "url", "texts", "keys", "states"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.xxhash64("html").alias("page_key"), F.col("html").cast("string").alias("html"))
-    return map_arrow(rows, run, "page_id long, url string, page_key long, hashes array<long>, states binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    lines = map_arrow(rows, run, "page_id long, url string, texts array<string>, keys array<long>, states array<tinyint>")
+    known = F.coalesce("url", F.lit(""))
+    return lines.withColumns({"host": host(known), "path": path(known), "version": F.xxhash64("keys", "states")})
 
 
-def shared_lines(pages: DataFrame) -> DataFrame:
-    """(page_id, url, page_key, gone): pages with lines to delete by differencing, and those lines' places.
+def shared_lines(lines: DataFrame) -> DataFrame:
+    """(host, version, shared) of page versions that share lines with a neighbour: which of their lines those are.
 
-    Pages are sorted by host, path and id across all tasks, so a host may be of any size; a page's
-    rank then finds its neighbours by an equi-join on a key that no two pages share.
+    Equal pages of a host are one version, at the least of their paths, so a copy is no neighbour. Versions
+    are sorted by host, path and content across all tasks, so a host may be of any size; a version's rank
+    then finds its neighbours by an equi-join on a key that no two versions share.
     """
-    lines = line_table(pages).withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
-    ordered = written(lines, "lines").repartitionByRange("host", "path", "page_id", "page_key").sortWithinPartitions("host", "path", "page_id", "page_key")
+    versions = lines.where(F.size("keys") > 0).groupBy("host", "version").agg(F.min("path").alias("path"), F.first("keys").alias("keys"))
+    ordered = versions.repartitionByRange("host", "path", "version").sortWithinPartitions("host", "path", "version")
     table = written(ordered.drop("path").withColumn("at", F.monotonically_increasing_id()).withColumns({"part": F.shiftright("at", 33), "pos": F.expr("at & 8589934591")}).drop("at"), "ordered")
     parts = table.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     # One row for each task of the sort: few, whatever the input.
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     ranked = table.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("pos")).drop("part", "pos", "before")
-    near = ranked.select("rank", F.col("host").alias("near_host"), F.col("hashes").alias("near"))
+    near = ranked.select("rank", F.col("host").alias("near_host"), F.col("keys").alias("near"))
     last, following = near.select((F.col("rank") + 1).alias("rank"), F.struct("near_host", "near").alias("last")), near.select((F.col("rank") - 1).alias("rank"), F.struct("near_host", "near").alias("following"))
     paired = ranked.join(last, "rank", "left").join(following, "rank", "left")
-    paired = paired.select("page_id", "url", "page_key", "hashes", "states", *(F.when(F.col(f"{side}.near_host") == F.col("host"), F.col(f"{side}.near")).alias(side) for side in ("last", "following")))
+    paired = paired.select("host", "version", "keys", *(F.when(F.col(f"{side}.near_host") == F.col("host"), F.col(f"{side}.near")).alias(side) for side in ("last", "following")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = []
-            for hashes, states, *sides in zip(*(batch.column(i).to_pylist() for i in range(3, 7))):
-                shared = {i for side in sides if side for i in common_lines(hashes, side)}
-                gone.append(sorted(i for i in shared if states[i] == UNKNOWN))
-            keep = pa.array([bool(g) for g in gone], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(gone, pa.list_(pa.int32()))], names=["page_id", "url", "page_key", "gone"]).filter(keep)
+            found = []
+            for keys, *sides in zip(*(batch.column(i).to_pylist() for i in range(2, 5))):
+                at = {i for side in sides if side for i in common_lines(keys, side)}
+                found.append([i in at for i in range(len(keys))] if at else None)
+            shared = pa.array(found, pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], shared], names=["host", "version", "shared"]).filter(shared.is_valid())
 
-    return map_arrow(paired, run, "page_id long, url string, page_key long, gone array<int>")
+    return map_arrow(paired, run, "host string, version long, shared array<boolean>")
 
 
-def main_text(pages: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
-    """page_id, url, text and n_chars of every row of pages, repeated ids included.
+#: Versions that share lines are broadcast while they take no more bytes than this; beyond, their join is shuffled.
+BROADCAST_BYTES = 16 << 20
+
 
-    Lines that markup calls boilerplate go, and so do unknown lines shared with a neighbour, unless
-    that would leave nothing of a page that has no article element. Null html gives empty text. Pages
-    without a host are neighbours of each other.
+def decided_lines(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """page_id, url and lines: struct(text, state, shared, stays) of each line of every row of pages, in order.
+
+    A shared line goes unless it stands in an article element; of the others those go that markup calls
+    boilerplate. A page of which nothing would stay keeps the lines that markup says nothing of.
     """
-    gone = written(shared_lines(pages).withColumnsRenamed({"page_id": "g_id", "url": "g_url", "page_key": "g_key"}).dropDuplicates(["g_id", "g_url", "g_key"]), "gone")
-    # Only pages that lose a line are in it; broadcast while they are few, else the join is shuffled.
-    few = gone.count() <= broadcast_rows
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("k_url"), F.xxhash64("html").alias("k_key"))
-    met = rows.join(F.broadcast(gone) if few else gone, F.col("page_id").eqNullSafe(F.col("g_id")) & (F.col("k_url") == F.col("g_url")) & (F.col("k_key") == F.col("g_key")), "left").select("page_id", "url", "html", "gone")
+    table = written(line_table(pages), "lines")
+    found = written(shared_lines(table.select("host", "path", "version", "keys")), "shared")
+    size = found.agg(F.coalesce(F.sum(F.size("shared") + 96), F.lit(0))).first()[0]
+    met = table.select("page_id", "url", "host", "version", "texts", "states").join(F.broadcast(found) if size <= broadcast_bytes else found, ["host", "version"], "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "html"):
-                texts = [assemble(parse_lines(page), lost) for page, lost in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    def judged(text: Column, i: Column) -> Column:
+        state, shared = F.get("states", i), F.coalesce(F.get("shared", i), F.lit(False))
+        return F.struct(text.alias("text"), state.alias("state"), shared.alias("shared"), ((state == ARTICLE) | ((state == UNKNOWN) & ~shared)).alias("stays"))
+
+    def spared(x: Column) -> Column:
+        return F.struct(x["text"].alias("text"), x["state"].alias("state"), x["shared"].alias("shared"), (x["state"] == UNKNOWN).alias("stays"))
 
-    return map_arrow(met, run, "page_id long, url string, text string, n_chars long")
+    lines = met.select("page_id", "url", F.transform("texts", judged).alias("lines"))
+    return lines.withColumn("lines", F.when(F.exists("lines", lambda x: x["stays"]), F.col("lines")).otherwise(F.transform("lines", spared)))
 
 
-def assemble(lines: list[tuple[str, int]], gone: list[int] | None) -> str:
-    """The lines that stay. A page with an article element is that element's lines; another one is its unknown
-    lines less those gone, or all of them if none would stay."""
-    article = [t for t, s in lines if s == ARTICLE]
-    if article:
-        return "\n".join(article)
-    lost = set(gone or ())
-    open_lines = [(i, t) for i, (t, s) in enumerate(lines) if s == UNKNOWN]
-    return "\n".join([t for i, t in open_lines if i not in lost] or [t for _, t in open_lines])
+def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """page_id, url, text and n_chars of every row of pages, repeated ids included.
+
+    Null html gives empty text. Pages without a host are neighbours of each other; equal pages of a host
+    get equal texts; an empty table gives an empty result. Other columns are ignored.
+    """
+    staying = F.transform(F.filter("lines", lambda x: x["stays"]), lambda x: x["text"])
+    return decided_lines(pages, broadcast_bytes).select("page_id", "url", F.array_join(staying, "\n").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+#: For pages whose article is one element of headings, paragraphs, line breaks and inline markup, as in the test tables.
+ORACLE = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+l AS (SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:p|h1|br)>'), lambda x:
+  trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[\s\x{85}\x{A0}]+', ' ', 'g'))) AS ls FROM a),
+t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(ls, lambda x: x <> ''), chr(10)), '') AS text FROM l)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""
 
 
 def op1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import op5_winnowing
-from chunkloom.llm.op1_pages import op1_pages
+from chunkloom.llm import op1_pages, op5_winnowing
 from chunkloom.llm.op2_crf import op2_crf
 from chunkloom.llm.op3_pii import op3_pii
 from chunkloom.llm.op4_jpeg import op4_jpeg
@@ -18,7 +17,7 @@ from chunkloom.llm.op9_simhash import op9_simhash
 from chunkloom.llm.op10_packing import op10_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_pages": op1_pages,
+    "op1_pages": op1_pages.op1_pages,
     "op2_crf": op2_crf,
     "op3_pii": op3_pii,
     "op4_jpeg": op4_jpeg,
@@ -31,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_pages": op1_pages.ORACLE,
     "op5_winnowing": op5_winnowing.ORACLE,
 }
