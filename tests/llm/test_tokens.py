@@ -40,14 +40,17 @@ def test_nul_at_every_place_of_a_chunk(name):
 
 
 def test_equal_hashes_of_unequal_chunks_change_nothing(monkeypatch):
-    """With hashes that say nothing but the length, every chunk still gets its own ids."""
+    """With hashes that say nothing, chunks of every length still get their own ids."""
     from chunkloom.llm import tokenize
 
-    monkeypatch.setattr(tokenize, "_HASHES", [(np.zeros(64, np.uint64), np.uint64(1))] * 2)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["cat", "dog\0", "x" * 17 + "a", "x" * 17 + "b", "yyyyyyyyyyyyyyyyyyyyyyyyyyyyyyyy" * 2 + "z" * rng.randint(0, 3), "abcdefgh", "abcdefghi"]) for _ in range(40)) for _ in range(30)]
     encoder = BulkTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["cat dog cow", "dog cat", "owl cow cat\0"]
-    tokens, at = encoder.encode(pa.array(texts))
-    assert [tokens[p:q].tolist() for p, q in zip(at, at[1:])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    expected = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for multipliers in (tokenize._MULTIPLIERS, np.zeros_like(tokenize._MULTIPLIERS)):
+        monkeypatch.setattr(tokenize, "_MULTIPLIERS", multipliers)
+        tokens, at = encoder.encode(pa.array(texts))
+        assert [tokens[p:q].tolist() for p, q in zip(at, at[1:])] == expected
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 100, 5000, 70_000])
