@@ -9,10 +9,10 @@ from dataclasses import dataclass, fields, replace
 
 @dataclass(frozen=True)
 class Settings:
+    #: Names and defaults.
     chunk_size: int = 512
     chunk_overlap: int = 50
     top_k: int = 4
-    temperature: float = 0.7
     max_upload_size: int = 10_485_760
     upload_dir: str = "./data/uploads"
     vector_store_dir: str = "./data/chroma"

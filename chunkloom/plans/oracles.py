@@ -6,13 +6,24 @@ from __future__ import annotations
 _STRIP = "regexp_replace(x, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')"
 
 
-def _sentences(pattern: str) -> str:
-    return f"list_filter(list_transform(regexp_extract_all(text, '{pattern}'), lambda x: {_STRIP}), lambda x: length(x) > 0)"
+def _sentences(pattern: str, text: str = "text") -> str:
+    return f"list_filter(list_transform(regexp_extract_all({text}, '{pattern}'), lambda x: {_STRIP}), lambda x: length(x) > 0)"
 
 
 CJK, LATIN = "[^。！？…\\n]+[。！？…\\n]?", "[^.!?\\n]+[.!?]*"
+WORD, WORD_CJK = "\\S+", "[぀-ヿ㐀-䶿一-鿿]|[^\\s぀-ヿ㐀-䶿一-鿿]+"
+#: What turns a text into one without spaces; the last character of the first has no counterpart and goes.
+CJK_FROM, CJK_TO = "aeiou.!? ", "的一是在有。！？"
+
+
+def _counted(cjk: bool = False) -> str:
+    """Common table expressions s(doc_id, ss) and c(doc_id, ss, cs): sentences and their token counts."""
+    sents = _sentences(CJK, f"translate(text, '{CJK_FROM}', '{CJK_TO}')") if cjk else _sentences(LATIN)
+    return f"s AS (SELECT doc_id, {sents} AS ss FROM documents), c AS (SELECT doc_id, ss, list_transform(ss, lambda x: len(regexp_extract_all(x, '{WORD_CJK if cjk else WORD}'))) AS cs FROM s)"
+
+
 _SENTS = f"s AS (SELECT doc_id, {_sentences(LATIN)} AS ss FROM documents)"
-_COUNTED = f"{_SENTS}, c AS (SELECT doc_id, ss, list_transform(ss, lambda x: len(regexp_extract_all(x, '\\S+'))) AS cs FROM s)"
+_COUNTED = _counted()
 
 
 def _rows(pattern: str) -> str:
@@ -55,8 +66,8 @@ def _vector(text: str) -> str:
     return f"list_transform(range(97, 123), lambda c: CAST(length(lower({text})) - length(replace(lower({text}), chr(CAST(c AS INT)), '')) AS DOUBLE))"
 
 
-def _vectors(buffer: int) -> str:
-    return f"""{_COUNTED}, g AS (SELECT doc_id, i, array_to_string(ss[greatest(i - {buffer}, 0) + 1:i + {buffer + 1}], ' ') AS t FROM (SELECT doc_id, ss, unnest(range(len(ss))) AS i FROM c)),
+def _vectors(buffer: int, cjk: bool = False) -> str:
+    return f"""{_counted(cjk)}, g AS (SELECT doc_id, i, array_to_string(ss[greatest(i - {buffer}, 0) + 1:i + {buffer + 1}], '{'' if cjk else ' '}') AS t FROM (SELECT doc_id, ss, unnest(range(len(ss))) AS i FROM c)),
     v AS (SELECT doc_id, i, {_vector('t')} AS v FROM g),
     w AS (SELECT doc_id, i, v, lead(v) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM v)"""
 
@@ -64,8 +75,8 @@ def _vectors(buffer: int) -> str:
 _COSINE = "list_inner_product({0}, {1}) / nullif(sqrt(list_inner_product({0}, {0})) * sqrt(list_inner_product({1}, {1})), 0)"
 
 
-def _breaks(percentile: float) -> str:
-    return f"""{_vectors(1)}, d AS (SELECT doc_id, i, round(1.0 - {_COSINE.format('v', 'u')}, 9) AS d FROM w WHERE u IS NOT NULL),
+def _breaks(percentile: float, cjk: bool = False) -> str:
+    return f"""{_vectors(1, cjk)}, d AS (SELECT doc_id, i, round(1.0 - {_COSINE.format('v', 'u')}, 9) AS d FROM w WHERE u IS NOT NULL),
     th AS (SELECT doc_id, round(quantile_cont(d, {percentile / 100}), 9) AS th FROM d GROUP BY 1),
     b AS (SELECT doc_id, i FROM d JOIN th USING (doc_id) WHERE d > th),
     e AS (SELECT doc_id, 0 AS k FROM c WHERE len(ss) > 0 UNION ALL SELECT doc_id, i + 1 FROM b UNION ALL SELECT doc_id, len(ss) FROM c WHERE len(ss) > 0),
@@ -77,7 +88,8 @@ def _semantic(percentile: float) -> str:
     return f"WITH {_breaks(percentile)} SELECT doc_id, parent_idx AS chunk_idx, CAST(list_sum(cs[a + 1:z]) AS BIGINT) AS n_tokens, array_to_string(ss[a + 1:z], ' ') AS text FROM sem JOIN c USING (doc_id)"
 
 
-_HYBRID_CTES = f"""WITH RECURSIVE {_breaks(95)},
+def _hybrid(cjk: bool = False) -> str:
+    return f"""WITH RECURSIVE {_breaks(95, cjk)},
 x AS (SELECT doc_id, parent_idx, a, cs[a + 1:z] AS cs, ss[a + 1:z] AS ss, list_sum(cs[a + 1:z]) AS total FROM sem JOIN c USING (doc_id)),
 q AS (SELECT doc_id, parent_idx, CAST(len(cs) AS INT) AS n, {_PREFIX} AS p FROM x WHERE total > 300),
 {_pack('q', 'doc_id, parent_idx', 256, 50)},
@@ -85,7 +97,10 @@ parts AS (
   SELECT doc_id, parent_idx, 0 AS es, CAST(len(cs) AS INT) AS ee FROM x WHERE total <= 300
   UNION ALL SELECT doc_id, parent_idx, es, ee FROM walk WHERE ee IS NOT NULL),
 h AS (SELECT doc_id, parent_idx, row_number() OVER (PARTITION BY doc_id, parent_idx ORDER BY ee) - 1 AS sub_idx, row_number() OVER (PARTITION BY doc_id ORDER BY parent_idx, ee) - 1 AS chunk_idx,
-  CAST(list_sum(cs[es + 1:ee]) AS BIGINT) AS n_tokens, array_to_string(ss[es + 1:ee], ' ') AS text FROM parts JOIN x USING (doc_id, parent_idx))"""
+  CAST(list_sum(cs[es + 1:ee]) AS BIGINT) AS n_tokens, array_to_string(ss[es + 1:ee], '{'' if cjk else ' '}') AS text FROM parts JOIN x USING (doc_id, parent_idx))"""
+
+
+_HYBRID_CTES = _hybrid()
 
 _PAIRS = "SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS a, CAST(b.embedding AS DOUBLE[]) AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
 _VECTORS = f"SELECT vec_id, round(list_inner_product(a, b), 6) AS dot, round(sqrt(list_inner_product(a, a)), 6) AS norm, round({_COSINE.format('a', 'b')}, 6) AS cosine FROM ({_PAIRS})"
@@ -110,6 +125,7 @@ ORACLES: dict[str, str] = {
     "g7_semantic_p95": _semantic(95),
     "g7_semantic_p5": _semantic(5),
     "g8_hybrid": f"{_HYBRID_CTES} SELECT doc_id, chunk_idx, parent_idx, sub_idx, n_tokens, text FROM h",
+    "g8_hybrid_cjk": f"{_hybrid(True)} SELECT doc_id, chunk_idx, parent_idx, sub_idx, n_tokens, text FROM h",
     "g8_hybrid_sizes": f"{_HYBRID_CTES}, pp AS (SELECT doc_id, parent_idx, count(*) AS parts, max(n_tokens) AS largest FROM h GROUP BY ALL) SELECT parts > 1 AS resplit, count(*) AS parents, CAST(sum(parts) AS BIGINT) AS chunks, max(largest) AS largest FROM pp GROUP BY 1",
     "g10_overlap_preview": f"WITH p AS ({_packed(500, 65)}), o AS (SELECT doc_id, max(CASE WHEN chunk_idx = 0 THEN text END) AS a, max(CASE WHEN chunk_idx = 1 THEN text END) AS b FROM p GROUP BY 1) SELECT doc_id, {_STRIP.replace('(x,', '(right(a, 65),')} AS end_of_first, {_STRIP.replace('(x,', '(left(b, 65),')} AS start_of_second FROM o WHERE b IS NOT NULL",
     "k9_adjacent_similarity": f"WITH {_vectors(0)}, d AS (SELECT doc_id, i, round({_COSINE.format('v', 'u')}, 9) AS similarity FROM w WHERE u IS NOT NULL), th AS (SELECT doc_id, round(quantile_cont(similarity, 0.95), 6) AS threshold FROM d GROUP BY 1) SELECT doc_id, threshold, CAST(i AS BIGINT) AS pos, similarity FROM d JOIN th USING (doc_id)",

@@ -17,8 +17,8 @@ def one(spark, column):
 
 def test_settings():
     assert Settings.load({}, {}) == Settings()
-    got = Settings.load({"CHUNK_SIZE": "9", "TOP_K": ""}, {"chunk_size": "7", "temperature": "0.1"})
-    assert (got.chunk_size, got.top_k, got.temperature) == (7, 4, 0.1)
+    got = Settings.load({"CHUNK_SIZE": "9", "TOP_K": ""}, {"chunk_size": "7", "UPLOAD_DIR": "up"})
+    assert (got.chunk_size, got.top_k, got.upload_dir) == (7, 4, "up")
     assert merge_settings({"A_X": "1", "A_Y": None}, {"a_x": "2", "B": "3"}, "A_") == {"x": "2"}
 
 
@@ -37,13 +37,56 @@ def test_top_k_equals_brute_force(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(60, None)], "row_id int, vector array<double>").repartition(5)
     queries = df.where("row_id < 7").select(F.col("row_id").alias("query_id"), "vector")
     got = {}
-    for r in retrieve.top_k(queries, df, 3, query_block=3).orderBy("query_id", "rank").collect():
+    for r in retrieve.top_k(queries, df, 3, query_bytes=300).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.row_id, r.score))
     for q in range(7):
         n = np.sqrt((vectors * vectors).sum(1))
         scores = [(-round(float(vectors[q] @ vectors[i] / n[q] / n[i]), 6), i) for i in range(60) if n[q] and n[i]]
         assert [i for i, _ in got.get(q, [])] == [i for _, i in sorted(scores)[:3]]
     assert retrieve.top_k(queries.limit(0), df, 3).count() == 0
+    one_pass = retrieve.top_k(queries, df, 3)
+    assert sorted(one_pass.collect()) == sorted(retrieve.top_k(queries, df, 3, query_bytes=300).collect())
+    named = retrieve.top_k(queries, df.withColumn("row_id", F.lpad(F.col("row_id").cast("string"), 3, "0")), 3)
+    assert {(r.query_id, r["rank"], int(r.row_id)) for r in named.collect()} == {(r.query_id, r["rank"], r.row_id) for r in one_pass.collect()}
+
+
+def test_shuffled_candidates_do_not_grow_with_batches(spark):
+    """A task passes on k rows a query, in however many Arrow batches it reads its rows; equal scores in plenty change nothing."""
+    rows = spark.range(4000).select(F.col("id").alias("row_id"), F.array(F.lit(1.0), (F.col("id") % 3).cast("double")).alias("vector")).repartition(4)
+    queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)] + [(9, [1.0, 1.0, 1.0]), (10, None)], "query_id long, vector array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    counts, hits = [], []
+    for size in ("20", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            counts.append(retrieve.candidates(queries, rows, 3).count())
+            hits.append(sorted(retrieve.top_k(queries, rows, 3).collect()))
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert counts == [4 * 5 * 3] * 2 and hits[0] == hits[1]
+    assert [r.row_id for r in hits[0] if r.query_id == 0] == [0, 3, 6]
+
+
+def test_stored_chunks(spark, tmp_path):
+    from chunkloom.operators import store
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def lengths(batch):
+        calls.add(len(batch))
+        return [[float(len(t)), 1.0] for t in batch]
+
+    chunks = spark.createDataFrame([(i, "x" * i, f"around {i}" if i % 2 else None) for i in range(1, 9)], "row_id long, text string, window string")
+    settings = Settings(vector_store_dir=str(tmp_path / "store"))
+    stored = store.save(store.embedded(chunks, vx.Model(lengths)), settings=settings)
+    assert store.load(spark, settings=settings).count() == 8 and calls.value == 8
+    hits = retrieve.top_k(spark.createDataFrame([(0, [3.0, 1.0])], "query_id long, vector array<double>"), stored, 2)
+    for few in (10, 0):
+        shown = {r.row_id: r.text for r in retrieve.with_nodes(hits, stored.select("row_id", "text", "window"), few).collect()}
+        assert shown == {3: "around 3", 4: "xxxx"}
+    assert calls.value == 8  # nothing is encoded again when the table is read
+    store.save(store.embedded(chunks), str(tmp_path / "store"), "append")
+    assert store.load(spark, str(tmp_path / "store")).count() == 16
 
 
 def test_hyperlinks_equal_a_loop(spark):
