@@ -146,6 +146,7 @@ ORACLES: dict[str, str] = {
     "s_upload_records": f"""WITH {_FILES}, n AS (SELECT *, sha256(text) AS digest, regexp_extract(path, '[^/]*$') AS name FROM l)
     SELECT sha256(source || '|' || digest || '|' || name) AS id, source AS tenant_id, 'local' AS storage_type, 'upload_files/' || source || '/' || digest || extension AS key, name, length AS size, ltrim(extension, '.') AS extension,
       {_MIME.format('extension')} AS mime_type, 'account' AS created_by_role, 'system' AS created_by, false AS used, digest AS hash, '' AS source_url FROM n""",
+    "k1_landed_uploads": f"""WITH {_FILES} SELECT DISTINCT 'upload_files/' || source || '/' || sha256(text) || extension AS key, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS hash FROM l""",
     "s15_storage_scan": f"WITH l AS ({_LISTING}) SELECT DISTINCT path, false AS is_dir FROM l UNION ALL SELECT DISTINCT 'store/' || source || '/', true FROM l",
     "k5_storage_exists_delete": f'WITH l AS ({_LISTING}) SELECT path, doc_id % 3 <> 0 AS "exists" FROM l',
     "c1_cached_pages": "SELECT doc_id AS key, 0 AS page, CASE WHEN doc_id % 2 = 0 THEN text ELSE text || '!' END AS text FROM documents",
@@ -162,5 +163,5 @@ ORACLES: dict[str, str] = {
     "s16_byte_pieces": "SELECT doc_id, CAST(ceil(strlen(text) / 4096.0) AS BIGINT) AS pieces, CAST(CASE WHEN strlen(text) > 0 THEN least(strlen(text), 4096) END AS BIGINT) AS first, CAST(CASE WHEN strlen(text) > 0 THEN (strlen(text) - 1) % 4096 + 1 END AS BIGINT) AS last FROM documents",
     "s_enum_checks": "SELECT conv_id, turn, role IN ('user', 'assistant') AS known, turn <= 1 AS equals_null FROM conversations",
     "s11_docx_round_trip": f"SELECT doc_id, CAST(0 AS BIGINT) AS page, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length({_STRIP}) > 0 THEN {_STRIP} ELSE chr(10) END), chr(10)) AS text, CAST(NULL AS VARCHAR) AS error FROM documents",
-    "s8_pdf_round_trip": "SELECT doc_id, CAST(0 AS BIGINT) AS page, trim(text, chr(10)) AS text, CAST(NULL AS VARCHAR) AS error FROM documents",
+    "s8_pdf_round_trip": "SELECT doc_id, CAST(0 AS BIGINT) AS page, text, CAST(NULL AS VARCHAR) AS error FROM documents",
 }

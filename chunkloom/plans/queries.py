@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from chunkloom.functions import vectors as vx
 from chunkloom.operators import chunk, documents, ingest, retrieve, store
 from chunkloom.plans import round_trips
 from chunkloom.plans.oracles import CJK_FROM, CJK_TO
-from chunkloom.shared import written
+from chunkloom.shared import shared_dir, written
+from chunkloom.sources import blobs
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,6 +168,15 @@ def upload_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", "tenant_id", "storage_type", "key", "name", "size", "extension", "mime_type", "created_by_role", "created_by", "used", "hash", "source_url")
 
 
+def landed_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads landed in the shared folder under keys of their content, and read back from there."""
+    files = _listing(spark, sf_dir).withColumn("key", ingest.upload_key(F.col("source"), F.col("content"), F.col("path")))
+    root = f"{shared_dir(spark)}/chunkloom-{uuid.uuid4().hex}"
+    written(ingest.landed(files, root), "landed")
+    found = blobs.files(spark, root, max_bytes=None)
+    return found.select(F.regexp_extract("path", "upload_files/.*$", 0).alias("key"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"))
+
+
 def storage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.scanned(_listing(spark, sf_dir), "store", directories=True)
 
@@ -255,7 +267,7 @@ QUERIES = {
     "g6_sentence_window_3": sentence_window, "g7_semantic_p95": _semantic(95), "g7_semantic_p5": _semantic(5), "g8_hybrid": hybrid, "g8_hybrid_cjk": hybrid_cjk, "g8_hybrid_sizes": hybrid_by_size, "g10_overlap_preview": overlap_preview,
     "k9_adjacent_similarity": adjacent_similarity, "a1_page_counts": page_counts, "a5_conversation_text": conversation_text, "s_conversation_children": conversation_children, "s_document_pages": document_pages, "p9_library_documents": library_documents,
     "m1_vector_functions": vector_functions, "a4_similarity_percentile": similarity_percentile, "t1_vector_top_k": vector_top_k, "t2_retrieval": retrieval, "t4_window_replacement": window_replacement,
-    "p4_url_gate": url_gate, "p1_upload_gates": upload_gates, "s_upload_records": upload_records, "s15_storage_scan": storage_scan, "k5_storage_exists_delete": storage_exists_delete, "c1_cached_pages": cached_pages,
+    "p4_url_gate": url_gate, "p1_upload_gates": upload_gates, "s_upload_records": upload_records, "k1_landed_uploads": landed_uploads, "s15_storage_scan": storage_scan, "k5_storage_exists_delete": storage_exists_delete, "c1_cached_pages": cached_pages,
     "r1_table_markdown": table_markdown, "r3_cell_text": cell_text, "w3_hyperlinks": hyperlink_runs, "j1_image_links": image_links, "f4_rendering": rendering, "f7_image_magic": image_magic, "f3_page_urls": page_urls, "s16_byte_pieces": byte_pieces, "s_enum_checks": enum_checks,
     "s11_docx_round_trip": docx_round_trip, "s8_pdf_round_trip": pdf_round_trip,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,15 +10,22 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions import text as tx
 
-#: From a file's bytes to (page text, images) for each page.
-Extractor = Callable[[bytes], list[tuple[str, int]]]
+#: From a file's bytes to its pages in order: (page text, images), or what went wrong with a page.
+Extractor = Callable[[bytes], Iterable[tuple[str, int] | Exception]]
 PAGES = "path string, page int, page_content string, images int, error string"
+#: Characters of page text that are passed on at once.
+BATCH_CHARS = 4 << 20
 
 
-def _pdf(content: bytes) -> list[tuple[str, int]]:
-    from chunkloom.sources import pdf
+def pdf_extractor(engine: str = "own") -> Extractor:
+    """Extracts PDF pages with a named engine, see sources.pdf.pages."""
 
-    return pdf.pages(content)
+    def pages(content: bytes) -> Iterable[tuple[str, int] | Exception]:
+        from chunkloom.sources import pdf
+
+        return pdf.pages(content, engine)
+
+    return pages
 
 
 def _docx(content: bytes) -> list[tuple[str, int]]:
@@ -27,32 +34,43 @@ def _docx(content: bytes) -> list[tuple[str, int]]:
     return [(docx.to_markdown(content), 0)]
 
 
-EXTRACTORS: dict[str, Extractor] = {".pdf": _pdf, ".docx": _docx}
+EXTRACTORS: dict[str, Extractor] = {".pdf": pdf_extractor(), ".docx": _docx}
+
+
+def _file_rows(path: str, extractor: Extractor | None, extension: str, content: bytes) -> Iterator[tuple]:
+    try:
+        if extractor is None:
+            raise ValueError(f"no extractor for {extension or 'files without an extension'}")
+        for i, page in enumerate(extractor(content)):
+            yield (path, i, None, None, f"{type(page).__name__}: {page}") if isinstance(page, Exception) else (path, i, *page, None)
+    except Exception as problem:  # isolates a broken file from the rest of the batch
+        yield path, None, None, None, f"{type(problem).__name__}: {problem}"
 
 
 def extracted(files: DataFrame, extractors: dict[str, Extractor] | None = None, image_marker: str = "[image]") -> DataFrame:
     """files (path, content) to pages: path, page from 0, page_content, images, error.
 
-    A file that cannot be read is one row with its error and no page; it never fails the job. Each file
-    is read whole by one task, so gate on size first.
+    A page that cannot be read is a row with its error, beside its file's other pages; a file that cannot
+    be is one row with its error and no page. Neither fails the job. Each file is read whole by one task,
+    so gate on size first.
     """
     known = EXTRACTORS if extractors is None else extractors
+    names = [c.split()[0] for c in PAGES.split(", ")]
+    types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in PAGES.split(", ")]
-        types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
             for path, extension, content in zip(*(batch.column(i) for i in range(3))):
-                rows: list[tuple] = []
-                try:
-                    extractor = known.get(extension.as_py())
-                    if extractor is None:
-                        raise ValueError(f"no extractor for {extension.as_py() or 'files without an extension'}")
-                    rows = [(path.as_py(), i, text, images, None) for i, (text, images) in enumerate(extractor(content.as_py() or b""))]
-                except Exception as problem:  # isolates a broken file from the rest of the batch
-                    rows = [(path.as_py(), None, None, None, f"{type(problem).__name__}: {problem}")]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                for row in _file_rows(path.as_py(), known.get(extension.as_py()), extension.as_py(), content.as_py() or b""):
+                    rows.append(row)
+                    held += len(row[2] or "")
+                    if held >= BATCH_CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     pages = files.select("path", tx.suffix(F.col("path")).alias("extension"), "content").mapInArrow(run, PAGES)
-    return pages.withColumn("page_content", tx.with_image_markers(F.col("page_content"), F.coalesce("images", F.lit(0)), image_marker))
+    return pages.withColumn("page_content", F.when(F.col("error").isNull(), tx.with_image_markers(F.col("page_content"), F.coalesce("images", F.lit(0)), image_marker)))

@@ -1,7 +1,8 @@
-"""PDF to pages of text: pypdfium2 where it is installed, else a small reader of our own.
+"""PDF to pages of text: a small reader of our own, or pypdfium2 where that is asked for.
 
 The own reader knows Flate and plain streams, object streams, the page tree, text operators and
-ToUnicode maps: enough for text PDFs. Encrypted files and other filters are errors, not empty text.
+ToUnicode maps: enough for text PDFs. Encrypted files, other filters, and codes that no map gives a
+text for are errors, not empty text.
 """
 
 from __future__ import annotations
@@ -138,9 +139,12 @@ class Reader:
         return self.decoded(value, raw) if isinstance(value, dict) and raw is not None else b""
 
     def unicode_map(self, font: object) -> tuple[dict[bytes, str], int] | None:
+        """Texts of a font's codes, and how many bytes a code has; None for a simple font without a map."""
         font = self.of(font)
         raw = self.stream(font["ToUnicode"]) if isinstance(font, dict) and "ToUnicode" in font else b""
         if not raw:
+            if isinstance(font, dict) and font.get("Subtype") == "Type0":
+                raise ValueError("composite font without a ToUnicode map")
             return None
         out: dict[bytes, str] = {}
         held: list[object] = []
@@ -164,7 +168,7 @@ class Reader:
         return out, width
 
     def text(self, page: dict) -> tuple[str, int]:
-        """The page's text, and how many images it draws."""
+        """The page's text, lines separated by line feeds, and how many images that are not empty it draws."""
         contents = page["contents"]
         inner = self.of(contents)
         refs = inner if isinstance(inner, list) else [contents]
@@ -176,14 +180,32 @@ class Reader:
         held: list[object] = []
         now: tuple[dict[bytes, str], int] | None = None
         images = 0
+        due = gap = False  # a line ends, or the pen has moved along it, before the next text
+
+        def decoded(raw: bytes) -> str:
+            if now is None:
+                return raw.decode("cp1252", "replace")
+            texts, width = now
+            codes = [raw[i : i + width] for i in range(0, len(raw), width)]
+            if lost := [c.hex() for c in codes if c not in texts]:
+                raise ValueError(f"no text for code {lost[0]}")
+            return "".join(texts[c] for c in codes)
 
         def show(raw: object) -> None:
-            if isinstance(raw, bytes):
-                out.append(raw.decode("cp1252", "replace") if now is None else "".join(now[0].get(raw[i : i + now[1]], "") for i in range(0, len(raw), now[1])))
+            nonlocal due, gap
+            if not isinstance(raw, bytes):
+                return
+            text = decoded(raw)
+            if due:
+                out.append("\n")
+            elif gap and out and out[-1] and text and not out[-1][-1].isspace() and not text[0].isspace() and text[0] not in ",.;:!?)]":
+                out.append(" ")
+            due = gap = False
+            out.append(text)
 
         def line() -> None:
-            if out and not out[-1].endswith("\n"):
-                out.append("\n")
+            nonlocal due
+            due = due or bool(out)
 
         for item in parse(b"\n".join(self.stream(r) for r in refs)):
             if not isinstance(item, Operator):
@@ -196,6 +218,8 @@ class Reader:
                 now = maps[name]
             elif item in (b"T*", b"Tm", b"ET") or (item in (b"Td", b"TD") and held and held[-1] != 0):
                 line()
+            elif item in (b"Td", b"TD"):
+                gap = True
             elif item in (b"Tj", b"'", b'"') and held:
                 if item != b"Tj":
                     line()
@@ -208,28 +232,40 @@ class Reader:
                     else:
                         show(part)
             elif item == b"Do" and held:
-                target = self.of(drawn.get(held[-1]))
-                images += isinstance(target, dict) and target.get("Subtype") == "Image"
+                target, stored = self.objects.get(int(drawn[held[-1]]), (None, None)) if isinstance(drawn.get(held[-1]), Ref) else (None, None)
+                images += isinstance(target, dict) and target.get("Subtype") == "Image" and bool(stored and stored.strip(b"\r\n"))
             held = []
-        return "".join(out).strip("\n"), images
+        return "".join(out), images
 
 
-def pages(content: bytes) -> list[tuple[str, int]]:
-    """(text, images) of each page, in order."""
-    try:
-        import pypdfium2
-    except ImportError:
+def pages(content: bytes, engine: str = "own") -> Iterator[tuple[str, int] | Exception]:
+    """(text, images) of each page, in order, or what went wrong with it. engine: "own" or "pdfium".
+
+    The engine is the caller's choice and never depends on what a worker has installed.
+    """
+    if engine not in ("own", "pdfium"):
+        raise ValueError(f"no PDF engine {engine}")
+    if engine == "own":
         reader = Reader(content)
-        return [reader.text(page) for page in reader.pages()]
+        for page in reader.pages():
+            try:
+                yield reader.text(page)
+            except Exception as problem:  # isolates a broken page from its file
+                yield problem
+        return
+    import pypdfium2
+
     document = pypdfium2.PdfDocument(content, autoclose=True)
     try:
-        out = []
-        for page in document:
-            body = page.get_textpage()
-            out.append((body.get_text_range(), sum(1 for o in page.get_objects() if o.type == 3)))
-            body.close()
-            page.close()
-        return out
+        for i in range(len(document)):
+            try:
+                page = document[i]
+                body = page.get_textpage()
+                yield body.get_text_range(), sum(1 for o in page.get_objects() if o.type == 3)
+                body.close()
+                page.close()
+            except Exception as problem:
+                yield problem
     finally:
         document.close()
 

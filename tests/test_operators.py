@@ -138,6 +138,13 @@ def test_tables(spark):
     assert one(spark, documents.cell_text(F.array(F.lit(" x "), F.lit(""), F.lit("y"), F.lit("x")))) == "x y"
 
 
+def test_documents_of_the_full_schema(spark):
+    part = {"page_content": "child", "vector": [1.0], "metadata": {"k": "v"}}
+    df = spark.createDataFrame([("text", "1", None, {"source": "f"}, schema.DEFAULT_PROVIDER, [part, {**part, "page_content": "second"}], [{**part, "provider": "p"}]), ("alone", "2", None, None, None, [], None)], schema.DOCUMENT)
+    assert [(r.id_, r.child_idx, r.page_content) for r in documents.flattened(df, "id_").collect()] == [("1", 0, "child"), ("1", 1, "second")]
+    assert [tuple(r) for r in documents.library_documents(df).collect()] == [("text", {"source": "f"}), ("alone", None)]
+
+
 def test_gates_cache_and_storage(spark):
     files = spark.createDataFrame([("in/a.PDF", 5, bytearray(b"x")), ("in/b.docx", 11_000_000, bytearray(b"y")), ("in/s/c.txt", 1, bytearray(b"z")), ("in/", 0, bytearray(b""))], "path string, length long, content binary")
     gated = {r.path: r.error for r in ingest.gated(files).collect()}
