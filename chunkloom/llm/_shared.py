@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -15,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from chunkloom.shared import shared_dir, written
+
+__all__ = ["documents", "free_names", "held_out", "map_arrow", "release_memory", "shared_dir", "slices", "written"]
+
 #: Rows of labelled data with this remainder of crc32(doc_id) mod 4 are held out of training.
 HELD_OUT_REMAINDER = 2
 SLICE_BYTES = 4 << 20
@@ -25,34 +25,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT_REMAINDER, F.lit(True))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir.
-
-    Where none is set, a local master gets a temporary folder, removed at exit; on a cluster that is an
-    error, as each machine would write to its own disk.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        made = tempfile.mkdtemp(prefix="chunkloom-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        named = f"file://{made}"
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: cuts lineage and survives lost executors.
-
-    The table stays until the folder is swept; its path holds a fresh uuid, so runs never meet.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/chunkloom-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """names, each lengthened until no column of df has it, in whatever case."""
     taken = {c.lower() for c in df.columns}

@@ -82,3 +82,19 @@ def test_odd_language_names_and_ties():
 def test_languages_are_bounded(monkeypatch):
     monkeypatch.setattr(op2_crf, "MOST_LANGUAGES", 2)
     assert Tagger(fit(["a b", "c d", "e f", "g h", "i j"], ["x", "y", "y", "z", "z"])).names == ["y", "z"]
+
+
+def test_labels_and_scores_equal_a_sum_over_words():
+    """A document's label has the largest sum of its words' marginals, found by enumerating all labellings; the score is its mean."""
+    tagger = Tagger(fit(["the house water of and"] * 20 + ["der haus wasser und nicht"] * 20 + ["la maison et eau pas"] * 20, ["en"] * 20 + ["de"] * 20 + ["fr"] * 20))
+    texts = ["the haus", "und", "la house und eau", "zzz", "the the der maison pas"]
+    names, scores = tagger.predict(texts)
+    for text, name, score in zip(texts, names, scores):
+        own = op2_crf.words(text)
+        emission = tagger.table.rows(own).astype(float)
+        total = np.zeros((len(own), 3))
+        for path in itertools.product(range(3), repeat=len(own)):
+            weight = np.prod([emission[t, k] for t, k in enumerate(path)]) * np.prod([tagger.transition[a, b] for a, b in zip(path, path[1:])])
+            total[np.arange(len(own)), path] += weight
+        sums = (total / total.sum(1, keepdims=True)).sum(0)
+        assert tagger.names[int(sums.argmax())] == name and abs(sums.max() / len(own) - score) < 1e-4

@@ -52,3 +52,33 @@ def test_unlearned_scripts_go(spark, sf):
         mixed = mixed.unionByName(row)
     kept = {r.doc_id for r in corpus_pipeline.language(spark, mixed, sf).collect()}
     assert kept == {r.doc_id for r in docs.collect()}
+
+
+def test_rows_that_share_or_lack_an_id(spark, sf):
+    """Through all stages rows are told apart by their texts: nothing is lost that no rule drops, and copies go whatever their ids."""
+    from pyspark.sql import functions as F
+    from test_op9_simhash import classes, simhash
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    source = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    # A third without an id, a third with one id, and some rows twice.
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, 7).otherwise(F.col("doc_id")).cast(docs.schema["doc_id"].dataType))
+    odd = odd.unionByName(odd.where("n_chars % 5 = 0")).withColumn("_fp", F.lit("extra"))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_duplicates"](spark, odd, sf)
+    texts = [t for _, t in source]
+    values = np.array([simhash(t) for t in texts], np.uint64)
+    linked = [(i, int(j)) for i in range(len(texts)) for j in np.flatnonzero(np.bitwise_count(values[:i] ^ values[i]) <= 2)]
+    group = dict(zip(texts, classes(len(texts), linked)))
+    rows = kept.collect()
+    assert sorted(group[r.text] for r in rows) == sorted(set(group.values())) and kept.columns == odd.columns
+    clean = stages["decontamination"](spark, kept, sf)
+    redacted = stages["personal_data"](spark, clean, sf)
+    assert redacted.count() == clean.count() and {r.n_chars == len(r.text) for r in redacted.collect()} == {True}
+    pieces = stages["packing"](spark, redacted, sf)
+    assert pieces.where("start = 0").count() == clean.count()
+    nulls = docs.limit(4).withColumn("text", F.lit(None).cast("string"))
+    for name, expected in (("language", 0), ("near_duplicates", 1), ("decontamination", 4), ("personal_data", 4)):
+        assert stages[name](spark, nulls, sf).count() == expected, name
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
