@@ -1,4 +1,9 @@
-"""A training-data pipeline over documents: each stage reads the Parquet that the one before it wrote."""
+"""A training-data pipeline over documents: each stage reads the Parquet that the one before it wrote.
+
+Every stage judges rows, not ids: rows that repeat an id, or have none, are told apart by their texts, and
+extra columns stay. A null text goes with the language stage, as it has no letter; a stage by itself treats
+it as its docstring says. Stages of an empty table give an empty table.
+"""
 
 from __future__ import annotations
 
@@ -17,27 +22,30 @@ LEAST_EVIDENCE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language the conditional random field can tell."""
+    """Keeps documents whose language the conditional random field can tell. Null and letterless texts go, and so
+    does everything where no row has a language to learn from; repeated rows stay or go together."""
     return op2_crf.keep_languages(docs, op2_crf.train(docs), LEAST_LANGUAGE_SCORE, least_evidence=LEAST_EVIDENCE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near-duplicates."""
+    """Keeps the document with the least id of each group of near-duplicates, whatever ids the others have. Null and
+    wordless texts are one group; different texts under one id, or under none, are different documents."""
     return op9_simhash.drop_near_duplicates(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold too much of benchmark items."""
+    """Drops documents that hold too much of benchmark items. Null texts hold nothing and stay; equal rows stay or go together."""
     return op5_winnowing.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the text by its kind."""
+    """Replaces personal data in the text by its kind. Every row stays, null texts as they are; equal texts give equal texts."""
     return op3_pii.redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and the sequences they are packed into."""
+    """Pieces of documents and the sequences they are packed into. Null texts are documents of their end id alone; rows
+    of one id are different documents."""
     return op10_packing.pack(docs)
 
 
