@@ -398,22 +398,45 @@ def pad(raw: bytes) -> bytes:
     return raw + b"\0" * (-len(raw) % ROW or (0 if raw else ROW))
 
 
-def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: each text's padded UTF-8 as JPEG, one row a row of docs, repeated ids included.
+MEDIA = "doc_id long, n_bytes long, media binary"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    Null text counts as empty; other columns are ignored; an empty table gives an empty result.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "text", 1 << 20):
-                raw = piece.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(encode_payloads([pad(x) for x in raw]), pa.binary())], names=["doc_id", "n_bytes", "media"])
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in slices(batch, "text", 1 << 20):
+            raw = piece.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(encode_payloads([pad(x) for x in raw]), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_bytes long, media binary")
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in slices(batch, "media", 2 << 20):
+            stored = piece.column(2).to_pylist()
+            digests, sizes, tails = [hashlib.sha256() for _ in stored], [0] * len(stored), [b""] * len(stored)
+            found: list[list[str]] = [[] for _ in stored]
+            for group in thumbnail_groups(stored):
+                for i, image, thumb in group:
+                    payload = thumb.tobytes()
+                    digests[i].update(payload)
+                    sizes[i] += len(payload)
+                    tails[i] = (tails[i] + payload[-ROW:])[-ROW:]
+                    found[i].append(f"{image.width}x{image.height}:{difference_hash(thumb):016x}")
+            rows = [(n, d.hexdigest(), zlib.crc32(t), len(raw), hashlib.sha256(raw).hexdigest(), ",".join(f)) for n, d, t, raw, f in zip(sizes, digests, tails, stored, found)]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[x.split()[0] for x in FEATURES.split(", ")])
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def store(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and media: each text's padded UTF-8 as JPEG, one row a row of docs, repeated ids included.
+
+    Null text counts as empty; other columns are ignored; an empty table gives an empty result.
+    """
+    return map_arrow(_texts(docs), _store, MEDIA)
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -421,26 +444,13 @@ def features(media: DataFrame) -> DataFrame:
 
     One row a row of media, repeated ids and equal media included; equal media give equal values.
     """
+    return map_arrow(media.select("doc_id", "n_bytes", "media"), _features, FEATURES)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "media", 2 << 20):
-                stored = piece.column(2).to_pylist()
-                digests, sizes, tails = [hashlib.sha256() for _ in stored], [0] * len(stored), [b""] * len(stored)
-                found: list[list[str]] = [[] for _ in stored]
-                for group in thumbnail_groups(stored):
-                    for i, image, thumb in group:
-                        payload = thumb.tobytes()
-                        digests[i].update(payload)
-                        sizes[i] += len(payload)
-                        tails[i] = (tails[i] + payload[-ROW:])[-ROW:]
-                        found[i].append(f"{image.width}x{image.height}:{difference_hash(thumb):016x}")
-                rows = [(n, d.hexdigest(), zlib.crc32(t), len(raw), hashlib.sha256(raw).hexdigest(), ",".join(f)) for n, d, t, raw, f in zip(sizes, digests, tails, stored, found)]
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[x.split()[0] for x in FEATURES.split(", ")])
-
-    return map_arrow(media.select("doc_id", "n_bytes", "media"), run, FEATURES)
+def stored_features(docs: DataFrame) -> DataFrame:
+    """features(store(docs)) in one worker, so that images need not travel between two."""
+    return map_arrow(_texts(docs), lambda batches: _features(_store(batches)), FEATURES)
 
 
 def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(store(documents(spark, sf_dir)))
+    return stored_features(documents(spark, sf_dir))

@@ -114,3 +114,22 @@ def test_query(spark, sf):
         stored = encode_payloads([whole])[0]
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
         assert seen.setdefault(source[r.doc_id], r.feature) == r.feature
+
+
+def test_one_worker_or_two(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert op4_jpeg.stored_features(docs).exceptAll(op4_jpeg.features(op4_jpeg.store(docs))).count() == 0
+
+
+def test_groups_of_images_equal_all_at_once(monkeypatch):
+    """Long payloads, cut into images that are made and read a few at a time."""
+    monkeypatch.setattr(op4_jpeg, "MAX_ROWS", 3)
+    payloads = [op4_jpeg.pad(bytes(i % 251 for i in range(n))) for n in (0, 1, 64, 191, 192, 193, 2000)]
+    whole = op4_jpeg.encode_payloads(payloads)
+    monkeypatch.setattr(op4_jpeg, "GROUP_BYTES", 100)
+    assert op4_jpeg.encode_payloads(payloads) == whole
+    back = [b""] * len(payloads)
+    for group in op4_jpeg.thumbnail_groups(whole, 500):
+        for i, _, thumb in group:
+            back[i] += thumb.tobytes()
+    assert back == payloads
