@@ -24,6 +24,8 @@ KEPT_FEATURES = 3000
 EPOCHS, RATE, DECAY, FAIRNESS, KEEP = 12, 0.3, 1e-4, 0.5, 0.4
 SIZES, PREFIXES = (4, 5), (3, 4, 5, 6, 7, 8)
 BITS = 60
+#: Training texts whose features are counted at once.
+TALLY_TEXTS = 500
 THRESHOLD = 0.3
 
 #: Identity terms; a term is swapped for another of its line.
@@ -59,10 +61,14 @@ def identity_swaps(terms: tuple[str, ...] = IDENTITY_TERMS) -> dict[str, list[st
 
 def choose(found: list[np.ndarray], labels: np.ndarray, most: int) -> np.ndarray:
     """The features whose presence tells the labels apart best, by the likelihood-ratio statistic; ascending."""
-    features, at = np.unique(np.concatenate(found), return_inverse=True)
-    toxic = np.repeat(labels, [len(f) for f in found])
-    pos = np.bincount(at, toxic, len(features))
-    total = np.bincount(at, minlength=len(features)).astype(float)
+    features, pos, total = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    for a in range(0, len(found), TALLY_TEXTS):  # all at once would sort every occurrence of every feature
+        part = found[a : a + TALLY_TEXTS]
+        features, at = np.unique(np.concatenate([features, *part]), return_inverse=True)
+        old = len(at) - sum(map(len, part))
+        toxic = np.repeat(labels[a : a + TALLY_TEXTS], [len(f) for f in part])
+        pos = np.bincount(at, np.concatenate([pos, toxic]), len(features))
+        total = np.bincount(at, np.concatenate([total, np.ones(len(at) - old)]), len(features))
     n, n_pos = len(labels), labels.sum()
     gain = np.zeros(len(features))
     for seen, row, column in ((pos, total, n_pos), (total - pos, total, n - n_pos), (n_pos - pos, n - total, n_pos), (n - total - n_pos + pos, n - total, n - n_pos)):
