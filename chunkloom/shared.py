@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: cuts lineage and survives lost executors.
 
-    The table stays until the folder is swept; its path holds a fresh uuid, so runs never meet.
+    The table stays until the folder is swept (swept); its path holds a fresh uuid, so runs never meet.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chunkloom-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def swept(spark: SparkSession, least_age_s: float = 86_400) -> int:
+    """Deletes the tables between steps that are at least that old, of finished runs and broken ones; how many folders went."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("chunkloom-") and s.getModificationTime() <= (time.time() - least_age_s) * 1000]
+    for path in old:
+        fs.delete(path, True)
+    return len(old)

@@ -160,3 +160,33 @@ def test_gates_cache_and_storage(spark):
     assert found == {("in/a.PDF", False), ("in/b.docx", False), ("in/s/c.txt", False), ("in/s/", True)}
     with pytest.raises(ValueError, match="nothing to list"):
         ingest.scanned(files, "in", files=False)
+
+
+def test_tables_between_steps(spark, tmp_path, monkeypatch):
+    """They lie in the shared folder, and go when they are swept; a cluster without such a folder is an error."""
+    from types import SimpleNamespace
+
+    from chunkloom import shared
+
+    assert shared.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    with monkeypatch.context() as patched:
+        patched.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
+        (tmp_path / "other").mkdir()
+        table = shared.written(spark.range(3), "t")
+        assert table.count() == 3 and len(list(tmp_path.glob("chunkloom-*/t"))) == 1
+        assert shared.swept(spark) == 0 and shared.swept(spark, -60) == 1
+        assert [p.name for p in tmp_path.iterdir()] == ["other"]
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.shared_dir(cluster)
+
+
+def test_queries_leave_the_session_as_it_was(spark, sf):
+    from chunkloom.plans import registry
+
+    settings = lambda: {r.key: r.value for r in spark.sql("SET").collect()}
+    before = settings()
+    for name in ("g8_hybrid", "t2_retrieval", "k1_landed_uploads"):
+        registry.QUERIES[name](spark, sf).count()
+    assert settings() == before
