@@ -64,3 +64,22 @@ def test_pages(spark):
     got = sorted((r.text, r.n_chars) for r in op1_pages.main_text(pages).collect())
     assert got == sorted([("", 0), ("", 0), ("x", 1), ("", 0), ("t", 1), (("y " * 100_000).strip(), 199_999)])
     assert op1_pages.main_text(pages.limit(0)).count() == 0
+
+
+def test_session_settings_stay(spark, docs, labels, items):
+    settings = lambda: {r.key: r.value for r in spark.sql("SET").collect()}
+    before = settings()
+    op9_simhash.drop_near_duplicates(docs).count()
+    op8_quality.quality(docs, labels).count()
+    op5_winnowing.decontaminate(docs, items).count()
+    op10_packing.pack(docs).count()
+    assert settings() == before
+
+
+def test_ties_and_repeated_rows_get_equal_values(docs, labels, items):
+    """The two rows (4, "A b") are alike in whatever an operator makes of them."""
+    for found in (op2_crf.languages(docs, op2_crf.train(docs)), op4_jpeg.stored_features(docs), op5_winnowing.contamination(docs, items).drop(*CLASHES), op6_toxicity.toxicity(docs, labels), op8_quality.quality(docs, labels), op9_simhash.near_duplicates(docs)):
+        rows = found.where("doc_id = 4").collect()
+        assert len(rows) == 2 and rows[0] == rows[1]
+    tokens = [(r.n_tokens, r.ids_crc32) for r in op7_wavelet.read_documents(op7_wavelet.write_shards(docs)).where("doc_id = 4").collect()]
+    assert len(tokens) == 2 and tokens[0] == tokens[1]
