@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Python's str.strip takes it.
-_STRIP = "\\x09-\\x0D\\x1C-\\x20\\x85\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+_STRIP = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: A sentence ends at a CJK terminator or a line end; of a run of terminators only the first is kept.
 SENTENCE_CJK = "[^。！？…\n]+[。！？…\n]?"
 #: A sentence ends at a run of Latin terminators or a line end.
@@ -29,7 +29,7 @@ IMAGE_MAGIC = (
 
 def strip(text: Column) -> Column:
     """Without white space at both ends, as Python's str.strip; SQL's trim removes spaces only."""
-    return F.regexp_replace(text, f"^[{_STRIP}]+|[{_STRIP}]+$", "")
+    return F.btrim(text, F.lit(_STRIP))
 
 
 def sentences(text: Column, pattern: str = SENTENCE_CJK) -> Column:
