@@ -161,26 +161,21 @@ def fit(texts: list[str], languages: list[str]) -> bytes:
                     i = usable[int(rng.integers(len(usable)))]
                 rows += own[:width]
                 gold += tags[:width]
-            distinct, inverse = np.unique(np.array(rows, object), return_inverse=True)
-            bucket, owner = emission_features(list(distinct), lex)
-            scores = np.zeros((len(distinct), n))
-            np.add.at(scores, owner, weights[bucket])
-            z = scores[inverse]
+            index: dict[str, int] = {}
+            inverse = np.array([index.setdefault(w, len(index)) for w in rows])
+            bucket, owner = emission_features(list(index), lex)
+            z = _sums(owner, weights[bucket], len(index))[inverse]
             z -= z.max(1, keepdims=True)
             marginal, expected = _chain(np.exp(z).reshape(-1, width, n), np.exp(trans))
             gold_at = np.array(gold).reshape(-1, width)
             error = marginal.reshape(-1, n).copy()
             error[np.arange(len(gold)), gold] -= 1
-            by_word = np.zeros((len(distinct), n))
-            np.add.at(by_word, inverse, error)
+            by_word = _sums(inverse, error, len(index))
             touched, back = np.unique(bucket, return_inverse=True)
-            step = np.zeros((len(touched), n), np.float32)
-            np.add.at(step, back, by_word[owner].astype(np.float32))
-            step /= len(gold) / 100
+            step = (_sums(back, by_word[owner], len(touched)) / (len(gold) / 100)).astype(np.float32)
             squares[touched] += step * step
             weights[touched] -= RATE * step / np.sqrt(squares[touched])
-            seen = np.zeros((n, n))
-            np.add.at(seen, (gold_at[:, :-1].ravel(), gold_at[:, 1:].ravel()), 1)
+            seen = np.bincount((gold_at[:, :-1] * n + gold_at[:, 1:]).ravel(), minlength=n * n).reshape(n, n)
             move = (expected - seen) / len(gold) * 100
             trans_squares += move * move
             trans -= RATE * move / np.sqrt(trans_squares)
@@ -188,6 +183,11 @@ def fit(texts: list[str], languages: list[str]) -> bytes:
     return len(head).to_bytes(8, "little") + head + trans.astype("<f8").tobytes() + weights.astype("<f4").tobytes()
 
 
+def _sums(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows that share an index."""
+    return np.stack([np.bincount(index, column, size) for column in rows.T], axis=1)
+
+
 def _chain(emission: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of (sequence, word, label) and the expected count of each transition, over all sequences."""
     rows, width, n = emission.shape
