@@ -14,6 +14,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -248,24 +249,30 @@ class Tagger:
         return split, lengths, transfer_marginals(emission, lengths[lengths > 0], self.transition) if len(emission) else emission
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        return self.judge(texts)[:2]
+        """Language and score of each text."""
+        return self._labelled(*self._weighed(texts)[1:])
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score, and evidence: how sure a text's words are of some language each without their neighbours,
         on average, from 0 (as sure of one as of any) to 1. Transitions alone can make unknown words score high.
         With one language there is nothing to compare, and evidence is 1."""
         _, lengths, emission = self._weighed(texts)
-        marginal = transfer_marginals(emission, lengths[lengths > 0], self.transition) if len(emission) else emission
         labels = self.transition.shape[0]
-        sure = (emission.max(1) / emission.sum(1) * labels - 1) / (labels - 1) if labels > 1 else np.ones(len(emission))
+        columns = list(emission.T)
+        sure = (reduce(np.maximum, columns) / reduce(np.add, columns) * labels - 1) / (labels - 1) if labels > 1 else np.ones(len(emission))
         borders = np.concatenate([[0], np.cumsum(lengths)])
         evidence = np.diff(np.concatenate([[0], np.cumsum(sure, dtype=np.float64)])[borders]) / np.maximum(lengths, 1)
+        return *self._labelled(lengths, emission), evidence
+
+    def _labelled(self, lengths: np.ndarray, emission: np.ndarray) -> tuple[list[str], np.ndarray]:
+        marginal = transfer_marginals(emission, lengths[lengths > 0], self.transition) if len(emission) else emission
+        borders = np.concatenate([[0], np.cumsum(lengths)])
         sums = np.diff(np.concatenate([np.zeros((1, marginal.shape[1])), np.cumsum(marginal, axis=0, dtype=np.float64)])[borders], axis=0)
         best = sums.argmax(1)
         score = np.clip(sums[np.arange(len(best)), best] / np.maximum(lengths, 1), 0, 1)
         empty = lengths == 0
         score[empty] = 0
-        return [UNKNOWN if e or not self.names else self.names[b] for e, b in zip(empty.tolist(), best.tolist())], score, evidence
+        return [UNKNOWN if e or not self.names else self.names[b] for e, b in zip(empty.tolist(), best.tolist())], score
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> bytes:
